@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate
+from . import decontaminate, packing, quality_rules
 
 QUERIES = {
+    "op3_quality_rules": quality_rules.query,
     "op4_decontaminate": decontaminate.query,
+    "op10_packing": packing.query,
 }
 
 ORACLES = {
