@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontaminate, packing, quality_rules
+from . import decontaminate, langid, near_dedup, packing, quality_rules
 
 QUERIES = {
     "op3_quality_rules": quality_rules.query,
     "op4_decontaminate": decontaminate.query,
+    "op5_langid": langid.query,
+    "op6_near_dedup": near_dedup.query,
     "op10_packing": packing.query,
 }
 
