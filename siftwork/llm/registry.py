@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontaminate, langid, near_dedup, packing, quality_rules
+from . import decontaminate, langid, line_dedup, near_dedup, packing, quality_rules
 
 QUERIES = {
     "op3_quality_rules": quality_rules.query,
     "op4_decontaminate": decontaminate.query,
     "op5_langid": langid.query,
     "op6_near_dedup": near_dedup.query,
+    "op7_line_dedup": line_dedup.query,
     "op10_packing": packing.query,
 }
 
