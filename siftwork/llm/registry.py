@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, langid, line_dedup, near_dedup, packing, quality_rules
+from . import decontaminate, langid, line_dedup, near_dedup, packing, quality_rules, warc
 
 QUERIES = {
     "op3_quality_rules": quality_rules.query,
@@ -10,9 +10,11 @@ QUERIES = {
     "op5_langid": langid.query,
     "op6_near_dedup": near_dedup.query,
     "op7_line_dedup": line_dedup.query,
+    "op9_warc": warc.query,
     "op10_packing": packing.query,
 }
 
 ORACLES = {
     "op4_decontaminate": decontaminate.ORACLE,
+    "op9_warc": warc.ORACLE,
 }
