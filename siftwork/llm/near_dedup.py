@@ -118,30 +118,40 @@ def _prefix(tree: str, depth: int):
     return F.xxhash64(F.col(tree), F.lit(depth), F.col("signature").substr(at.cast("int"), F.lit(4 * depth)))
 
 
-def regions(classes: DataFrame) -> DataFrame:
-    """Region members (region, rep, part): groups of at most REGION classes, at the depth that makes them small.
+def _keys(classes: DataFrame, depth: int) -> DataFrame:
+    trees = F.explode(F.array(*[F.lit(t) for t in range(TREES)]))
+    return classes.select("rep", "signature", trees.alias("tree")).select("rep", "tree", _prefix("tree", depth).alias("key"))
+
 
-    Crowded prefixes are counted by pre-aggregated counts at each depth; only their members go deeper.
+def first_regions(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Members (rep, tree, key, n) of prefixes of START values that several classes share, and the classes among them.
+
+    Keys travel without their signatures, and are counted by pre-aggregated counts.
     """
-    spark = classes.sparkSession
-    trees = F.explode(F.array(*[F.lit(t) for t in range(TREES)]))
-    level = classes.select("rep", "signature", trees.alias("tree"))
-    level = level.select("rep", "signature", "tree", _prefix("tree", START).alias("key"))
-    done = None
-    for depth in range(START, DEPTH + 1):
-        sizes = level.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-        met = common.materialize(level.join(sizes, "key").select("rep", "tree", "key", "n", *([] if depth == DEPTH else ["signature"])), f"region{depth}")
-        small = met.where(F.col("n") <= REGION).select(F.col("key").alias("region"), "rep")
-        done = small if done is None else done.unionByName(small)
-        crowded = met.where(F.col("n") > REGION)
+    keys = _keys(classes, START)
+    sizes = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    met = common.materialize(keys.join(sizes, "key").select("rep", "tree", "key", "n"), "region-keys")
+    return met, common.materialize(classes.join(met.select("rep").distinct(), "rep", "left_semi"), "region-classes")
+
+
+def small_regions(met: DataFrame) -> DataFrame:
+    return met.where(F.col("n") <= REGION).select(F.col("key").alias("region"), "rep", F.lit(False).alias("tie"))
+
+
+def deeper_regions(met: DataFrame, classes: DataFrame) -> DataFrame:
+    """Regions below the crowded ones, split value by value until they are small."""
+    done = classes.sparkSession.createDataFrame([], "region bigint, rep bigint, tie boolean")
+    crowded = met.where(F.col("n") > REGION)
+    for depth in range(START + 1, DEPTH + 1):
         if crowded.isEmpty():
-            break
-        if depth < DEPTH:
-            done = done.unionByName(_tie(crowded, depth))
-            level = crowded.select("rep", "signature", "tree", _prefix("tree", depth + 1).alias("key"))
-        else:
-            done = done.unionByName(_blocks(crowded))
-    return done if done is not None else spark.createDataFrame([], "region bigint, rep bigint")
+            return done
+        level = crowded.select("rep", "tree").join(classes, "rep").select("rep", "tree", _prefix("tree", depth).alias("key"))
+        sizes = level.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+        below = common.materialize(level.join(sizes, "key").select("rep", "tree", "key", "n"), f"region{depth}")
+        done = done.unionByName(small_regions(below))
+        crowded = below.where(F.col("n") > REGION)
+        done = done.unionByName(_tie(crowded.join(classes, "rep"), depth) if depth < DEPTH else _blocks(crowded))
+    return done
 
 
 def _tie(crowded: DataFrame, depth: int) -> DataFrame:
@@ -158,7 +168,7 @@ def _tie(crowded: DataFrame, depth: int) -> DataFrame:
     named = blocks.select(F.xxhash64("key", F.lit(depth), "block", F.lit("tie")).alias("region"), "rep", "key")
     count = crowded.groupBy("key").agg(F.ceil(F.max("n") / (REGION - LEADERS)).alias("blocks"))
     every = leaders.join(count, "key").select("key", "leader", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("block"))
-    return named.select("region", "rep").unionByName(every.select(F.xxhash64("key", F.lit(depth), "block", F.lit("tie")).alias("region"), F.col("leader").alias("rep"))).distinct()
+    return named.select("region", "rep").unionByName(every.select(F.xxhash64("key", F.lit(depth), "block", F.lit("tie")).alias("region"), F.col("leader").alias("rep"))).distinct().withColumn("tie", F.lit(True))
 
 
 def _blocks(crowded: DataFrame) -> DataFrame:
@@ -167,7 +177,7 @@ def _blocks(crowded: DataFrame) -> DataFrame:
     region = F.xxhash64("key", "block", F.lit("block"))
     first = blocks.groupBy("key").agg(F.min("rep").alias("rep"), F.max("n").alias("n"))
     ties = first.select("rep", "key", F.explode(F.sequence(F.lit(0).cast("bigint"), F.ceil(F.col("n") / (REGION - 1)) - 1)).alias("block"))
-    return blocks.select(region.alias("region"), "rep").unionByName(ties.select(region.alias("region"), "rep")).distinct()
+    return blocks.select(region.alias("region"), "rep").unionByName(ties.select(region.alias("region"), "rep")).distinct().withColumn("tie", F.lit(True))
 
 
 def _forest(n: int, left: np.ndarray, right: np.ndarray, weight: np.ndarray) -> list[int]:
@@ -189,8 +199,12 @@ def _forest(n: int, left: np.ndarray, right: np.ndarray, weight: np.ndarray) ->
     return out
 
 
-def _pairs_of(region: np.ndarray, rep: np.ndarray, group: np.ndarray, sig: np.ndarray, forest: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Similar pairs inside each region of rows sorted by region, of different groups."""
+def _pairs_of(region: np.ndarray, rep: np.ndarray, group: np.ndarray, size: np.ndarray, sig: np.ndarray, regions: list[list[int]] | None) -> tuple[np.ndarray, np.ndarray]:
+    """Similar pairs inside each region of rows sorted by region, of different groups.
+
+    With each row's list of tree regions, every such pair, in the least of the regions that both are in, or in a
+    tie if there is none; else the edges of a maximum spanning forest of the region.
+    """
     edge = np.flatnonzero(np.concatenate(([True], region[1:] != region[:-1], [True])))
     left_all, right_all = [], []
     for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
@@ -198,13 +212,18 @@ def _pairs_of(region: np.ndarray, rep: np.ndarray, group: np.ndarray, sig: np.nd
             continue
         i, j = np.triu_indices(b - a, 1)
         apart = (rep[a + i] != rep[a + j]) & (group[a + i] != group[a + j])
+        apart &= 100 * np.minimum(size[a + i], size[a + j]) >= PERCENT * np.maximum(size[a + i], size[a + j])
         i, j = i[apart], j[apart]
         if not len(i):
             continue
         same = (sig[a + i] == sig[a + j]).mean(axis=1)
         near = np.flatnonzero(same >= ESTIMATE)
         i, j, same = i[near], j[near], same[near]
-        if forest and len(i) > 1:
+        if regions is not None:
+            own = [set(regions[k]) for k in range(a, b)]
+            least = [min(own[x] & own[y], default=region[a]) == region[a] for x, y in zip(i.tolist(), j.tolist(), strict=True)]
+            i, j = i[least], j[least]
+        elif len(i) > 1:
             picked = _forest(b - a, i, j, same)
             i, j = i[picked], j[picked]
         left_all.append(rep[a + i])
@@ -215,8 +234,9 @@ def _pairs_of(region: np.ndarray, rep: np.ndarray, group: np.ndarray, sig: np.nd
     return np.minimum(left, right), np.maximum(left, right)
 
 
-def candidates(members: DataFrame, forest: bool) -> DataFrame:
-    """Distinct candidate pairs (a, b) of members(region, rep, component, short)."""
+def candidates(members: DataFrame) -> DataFrame:
+    """Distinct candidate pairs (a, b) of members(region, rep, component, size, short and, for all pairs, regions)."""
+    listed = "regions" in members.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -229,13 +249,15 @@ def candidates(members: DataFrame, forest: bool) -> DataFrame:
             held = rows.slice(end)
             if end:
                 part = rows.slice(0, end)
-                sig = np.frombuffer(b"".join(part.column(3).to_pylist()), np.uint16).reshape(end, TREES * DEPTH)
-                a, b = _pairs_of(region[:end], part.column(1).to_numpy(), part.column(2).to_numpy(), sig, forest)
+                sig = np.frombuffer(b"".join(part.column(4).to_pylist()), np.uint16).reshape(end, TREES * DEPTH)
+                rep, group, size = (part.column(k).to_numpy() for k in (1, 2, 3))
+                a, b = _pairs_of(region[:end], rep, group, size, sig, part.column(5).to_pylist() if listed else None)
                 if len(a):
                     yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
-    by_region = members.select("region", "rep", "component", "short").repartition("region").sortWithinPartitions("region")
-    return by_region.mapInArrow(run, "a bigint, b bigint").distinct()
+    columns = ["region", "rep", "component", "size", "short", *(["regions"] if listed else [])]
+    found = members.select(*columns).repartition("region").sortWithinPartitions("region").mapInArrow(run, "a bigint, b bigint")
+    return found.distinct()
 
 
 def confirm(pairs: DataFrame, documents: DataFrame) -> DataFrame:
@@ -271,35 +293,35 @@ def confirm(pairs: DataFrame, documents: DataFrame) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(check, "a bigint, b bigint")
 
 
-def _short(signature: np.ndarray) -> np.ndarray:
-    return signature.astype(np.uint16)
-
-
 def group(documents: DataFrame) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id and kept."""
     made = common.materialize(sketch(documents), "sketch")
     ids = made.select(F.col("doc_id").cast("bigint").alias("doc_id"), "n_shingles", "set_hash")
     reps = common.materialize(ids.where("set_hash is not null and doc_id is not null").groupBy("set_hash").agg(F.min("doc_id").alias("rep")), "classes")
-    classes = made.select(F.col("doc_id").cast("bigint").alias("rep"), "signature").where("signature is not null").join(reps.select("rep").distinct(), "rep", "left_semi").dropDuplicates(["rep"])
+    classes = made.select(F.col("doc_id").cast("bigint").alias("rep"), F.col("n_shingles").alias("size"), "signature").where("signature is not null").join(reps.select("rep").distinct(), "rep", "left_semi").dropDuplicates(["rep"])
     classes = common.materialize(classes, "labels")
-    met = common.materialize(regions(classes).distinct(), "regions")
+    met, near = first_regions(classes)
 
     def shorten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_short(np.frombuffer(x, np.uint32)).tobytes() for x in batch.column(1).to_pylist()], pa.binary())], names=["rep", "short"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([np.frombuffer(x, np.uint32).astype(np.uint16).tobytes() for x in batch.column(2).to_pylist()], pa.binary())], names=["rep", "size", "short"])
 
-    shorts = classes.join(met.select("rep").distinct(), "rep", "left_semi").mapInArrow(shorten, "rep bigint, short binary")
-    members = met.join(shorts, "rep")
-    tried = common.materialize(candidates(members.withColumn("component", F.col("rep")), True), "tried")
+    shorts = common.materialize(near.select("rep", "size", "signature").mapInArrow(shorten, "rep bigint, size bigint, short binary"), "shorts")
+    first = small_regions(met).unionByName(_tie(met.where(F.col("n") > REGION).join(near, "rep"), START))
+    tried = common.materialize(candidates(first.join(shorts, "rep").withColumn("component", F.col("rep"))), "tried")
     links = common.materialize(confirm(tried, documents), "links")
     parts = common.materialize(common.components(links, "a", "b"), "parts").select(F.col("node").alias("rep"), "component")
-    again = members.join(parts, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    more = common.materialize(candidates(again, False).join(tried, ["a", "b"], "left_anti"), "more")
+    # the families are joined; now every similar pair of different components, in small, tied and deeper regions
+    every = first.unionByName(deeper_regions(met, near)).join(parts, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    open_regions = every.groupBy("region").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("region")
+    again = common.materialize(every.join(open_regions, "region", "left_semi").distinct(), "open-regions")
+    listed = again.where("not tie").groupBy("rep").agg(F.collect_set("region").alias("regions"))  # one for each tree at most
+    members = again.join(shorts, "rep").join(listed, "rep", "left").withColumn("regions", F.coalesce("regions", F.array().cast("array<bigint>")))
+    more = common.materialize(candidates(members).join(tried, ["a", "b"], "left_anti"), "more")
     if not more.isEmpty():
         found = common.materialize(confirm(more, documents), "found")
         if not found.isEmpty():
-            links = links.unionByName(found)
-            parts = common.components(links, "a", "b").select(F.col("node").alias("rep"), "component")
+            parts = common.components(links.unionByName(found), "a", "b").select(F.col("node").alias("rep"), "component")
     named = reps.join(parts, "rep", "left").select("set_hash", F.coalesce("component", "rep").alias("__component"))
     out = ids.join(named, "set_hash", "left")
     component = F.coalesce("__component", "doc_id")
