@@ -330,5 +330,16 @@ def group(documents: DataFrame) -> DataFrame:
                       (F.col("doc_id").isNull() | (F.col("doc_id") == component)).alias("kept"))
 
 
+def keep_first(documents: DataFrame) -> DataFrame:
+    """The documents without all but the first (smallest doc_id) of each group; one row of a repeated doc_id."""
+    grouped = common.materialize(group(documents), "near-groups")
+    gone = grouped.where("not kept").select("doc_id").distinct()
+    left = documents.join(gone, "doc_id", "left_anti").select(*documents.columns)
+    again = grouped.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("__n")).where("__n > 1").select("doc_id")
+    if again.isEmpty():
+        return left
+    return left.join(again, "doc_id", "left_anti").unionByName(left.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])).select(*documents.columns)
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     return group(common.table(spark, sf_dir, "documents"))
