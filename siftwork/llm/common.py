@@ -1,52 +1,16 @@
-"""Helpers shared by the training-data operators: shared storage, batching, hashing, components."""
+"""Helpers shared by the training-data operators: batching, hashing, folds; storage and components come from the core."""
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One driver table; always through Spark's reader so any Hadoop path works."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, own temp folder only in local mode."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        base = f"file://{os.path.join(tempfile.gettempdir(), 'siftwork-checkpoints')}"
-    return base.rstrip("/")
-
-
-def work_path(spark: SparkSession, name: str) -> str:
-    """A fresh path under the shared folder."""
-    return f"{shared_dir(spark)}/siftwork-{name}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Cut lineage: write df as Parquet under the shared folder and read it back."""
-    spark = df.sparkSession
-    path = work_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_path(spark: SparkSession, path: str) -> None:
-    """Delete a folder in any Hadoop file system."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+from ..operators.graph import components
+from ..storage import drop_path, drop_table, materialize, shared_dir, table, work_path
 
 
 def text_slices(batch: pa.RecordBatch, column: int, max_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
@@ -81,40 +45,4 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def components(edges: DataFrame, src: str = "src", dst: str = "dst", rounds: int = 40) -> DataFrame:
-    """Connected components of an edge list as (node, component), component being the smallest node.
-
-    Alternating large-star and small-star passes (O(log n) rounds), each written to the shared
-    folder. Stars are joins and pre-aggregated minima, so a hub node is never gathered in one task.
-    Self-edges and repeated edges are allowed. Nodes without an edge do not appear.
-    """
-    spark = edges.sparkSession
-    e = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u <> v")
-    cur, cur_path = None, None
-    for k in range(rounds):
-        first = e if cur is None else cur
-        both = first.select("u", "v").union(first.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        # large star: every neighbour larger than u hangs on u's minimum
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        # small star: u and its smaller neighbours hang on the smallest of them
-        down = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = (large.join(down, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-                 .union(down.select("u", F.col("m").alias("v"))).distinct())
-        path = work_path(spark, "components")
-        small.write.parquet(path)
-        new = spark.read.schema("u bigint, v bigint").parquet(path)
-        stable = new.groupBy("u").count().where("count > 1").isEmpty() and new.join(
-            new.select(F.col("u").alias("v")).distinct(), "v", "left_semi").isEmpty()
-        if cur_path:
-            drop_path(spark, cur_path)
-        cur, cur_path = new, path
-        if stable:
-            break
-    else:
-        raise RuntimeError("components did not converge")
-    roots = cur.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    return cur.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
-
-
-__all__ = ["as_bytes", "components", "drop_path", "held_out", "materialize", "mix64", "shared_dir", "table", "text_slices", "work_path"]
+__all__ = ["as_bytes", "components", "drop_path", "drop_table", "held_out", "materialize", "mix64", "shared_dir", "table", "text_slices", "work_path"]
