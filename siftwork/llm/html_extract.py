@@ -234,7 +234,7 @@ def style_counts(pages: DataFrame) -> DataFrame:
                 rows = [(*key, k) for key, k in counts.items()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
-    counted = pages.where("html is not null and html <> ''").select(_host("url"), "html").mapInArrow(run, "host bigint, path bigint, content boolean, feature bigint, k bigint")
+    counted = pages.where("html is not null and html <> ''").select(_host("url").alias("host"), "html").mapInArrow(run, "host bigint, path bigint, content boolean, feature bigint, k bigint")
     return counted.groupBy("host", "path", "content", "feature").agg(F.sum("k").alias("k"))
 
 
