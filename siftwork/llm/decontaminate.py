@@ -7,7 +7,7 @@ The index is a suffix array's Burrows-Wheeler transform under a wavelet matrix.
 searched backwards at once, their occurrences are located by walking to sampled suffix positions, and
 overlapping occurrences merge into removal spans.
 
-Null or empty texts have no words and are returned with zero counts. Benchmark rows with a null id or
+Null or empty texts have no words and are returned with zero counts; rows may repeat or lack an id. Benchmark rows with a null id or
 without words are ignored; a repeated item counts once.
 """
 
@@ -21,6 +21,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_type
+from pyspark.sql.types import StructField, StructType
 
 from . import common
 
@@ -223,92 +225,87 @@ def _byte_spans(text: bytes, flags: np.ndarray) -> list[list[int]]:
     return out
 
 
-def scan(documents: DataFrame, phrases_of, with_spans: bool, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row a document: n_words, n_hit, items and, if asked for, spans (character ranges) and hits (word ranges)."""
-    id_type = documents.schema[id_col].dataType.simpleString()
-    schema = f"doc_id {id_type}, n_words bigint, n_hit bigint, items array<string>, spans array<array<bigint>>, hits array<array<bigint>>"
-    arrow = pa.schema([("doc_id", _arrow(id_type)), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())),
-                       ("spans", pa.list_(pa.list_(pa.int64()))), ("hits", pa.list_(pa.list_(pa.int64())))])
-
-    def shard(keys: list, texts: list, counts: list[int], ids: list[np.ndarray], phrases: Phrases) -> pa.RecordBatch:
-        flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
-        sizes = np.array(counts, np.int64)
-        doc = np.repeat(np.arange(len(keys)), sizes)
-        hit, pair_doc, pair_item = search_shard(flat, doc, phrases)
-        n_hit = np.bincount(doc[hit], minlength=len(keys))
-        items: list[list[str]] = [[] for _ in keys]
+#: What a scan adds to a row.
+SCAN = (("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("spans", pa.list_(pa.list_(pa.int64()))), ("hits", pa.list_(pa.list_(pa.int64()))))
+
+
+def scan(documents: DataFrame, phrases_of, with_spans: bool, prefix: str = "", text_col: str = "text") -> DataFrame:
+    """The documents with n_words, n_hit, items and, if asked for, spans (character ranges) and hits (word ranges), under a prefix.
+
+    Rows pass through with all their columns, so no id is needed to bring results and texts together.
+    """
+    at = documents.columns.index(text_col)
+    schema = StructType([*documents.schema.fields, *(StructField(prefix + name, from_arrow_type(kind)) for name, kind in SCAN)])
+
+    def shard(rows: list[pa.RecordBatch], texts: list, ids: list[np.ndarray], phrases: Phrases) -> Iterator[pa.RecordBatch]:
+        sizes = np.array([len(x) for x in ids], np.int64)
+        doc = np.repeat(np.arange(len(ids)), sizes)
+        hit, pair_doc, pair_item = search_shard(np.concatenate(ids), doc, phrases)
+        n_hit = np.bincount(doc[hit], minlength=len(ids))
+        items: list[list[str]] = [[] for _ in ids]
         for d, i in zip(pair_doc.tolist(), pair_item.tolist(), strict=True):
             items[d].append(phrases.ids[i])
-        spans: list = [[] for _ in keys]
-        hits: list = [[] for _ in keys]
+        spans: list = [[] for _ in ids]
+        hits: list = [[] for _ in ids]
         if with_spans:
             ends = np.cumsum(sizes)
             for d in np.flatnonzero(n_hit):
                 flags = hit[ends[d] - sizes[d] : ends[d]]
-                edge = np.flatnonzero(np.diff(np.concatenate(([0], flags, [0])).astype(np.int8)))
-                hits[d] = edge.reshape(-1, 2).tolist()
+                hits[d] = np.flatnonzero(np.diff(np.concatenate(([0], flags, [0])).astype(np.int8))).reshape(-1, 2).tolist()
                 spans[d] = _byte_spans(texts[d], flags)
-        return pa.RecordBatch.from_arrays([pa.array(keys, arrow[0].type), pa.array(counts, pa.int64()), pa.array(n_hit, pa.int64()),
-                                           pa.array(items, arrow[3].type), pa.array(spans, arrow[4].type), pa.array(hits, arrow[5].type)], schema=arrow)
+        made, start = [sizes, n_hit, items, spans, hits], 0
+        for part in rows:
+            end = start + part.num_rows
+            own = [pa.array(m[start:end], kind) for m, (_, kind) in zip(made, SCAN, strict=True)]
+            yield pa.RecordBatch.from_arrays([*part.columns, *own], names=[*part.schema.names, *(prefix + name for name, _ in SCAN)])
+            start = end
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         phrases = phrases_of()
         look = phrases.vocabulary.get
-        keys, texts, counts, ids, held, kept = [], [], [], [], 0, 0
+        rows, texts, ids, held, kept = [], [], [], 0, 0
         for batch in batches:
-            for part in common.text_slices(batch, 1):
-                for key, text in zip(part.column(0).to_pylist(), common.as_bytes(part.column(1)), strict=True):
-                    text = text or b""
-                    words = words_of(text)
-                    own = np.fromiter((look(w, 0) for w in words), np.int32, len(words))
-                    keys.append(key)
+            for part in common.text_slices(batch, at):
+                rows.append(part)
+                for text in common.as_bytes(part.column(at)):
+                    own = [look(w, 0) for w in words_of(text or b"")]
+                    ids.append(np.array(own, np.int32))
                     texts.append(text if with_spans else None)
-                    counts.append(len(words))
-                    ids.append(own)
-                    held += len(text)
-                    kept += np.count_nonzero(own)
-                    if held >= SHARD_BYTES or kept >= SHARD_WORDS:
-                        yield shard(keys, texts, counts, ids, phrases)
-                        keys, texts, counts, ids, held, kept = [], [], [], [], 0, 0
-        if keys:
-            yield shard(keys, texts, counts, ids, phrases)
-
-    return documents.select(id_col, text_col).mapInArrow(run, schema)
-
+                    held += len(text or b"")
+                    kept += np.count_nonzero(ids[-1])
+                if held >= SHARD_BYTES or kept >= SHARD_WORDS:
+                    yield from shard(rows, texts, ids, phrases)
+                    rows, texts, ids, held, kept = [], [], [], 0, 0
+        if rows:
+            yield from shard(rows, texts, ids, phrases)
 
-def _arrow(simple: str) -> pa.DataType:
-    return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[simple]
+    return documents.mapInArrow(run, schema)
 
 
-def find(documents: DataFrame, benchmark: DataFrame, with_spans: bool = True, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """Hits of every benchmark window in every document: doc_id, n_words, n_hit, items, spans.
+def find(documents: DataFrame, benchmark: DataFrame, with_spans: bool = True, window: int = WINDOW, block_words: int = BLOCK_WORDS, prefix: str = "") -> DataFrame:
+    """The documents with the hits of every benchmark window: n_words, n_hit, items, spans, under a prefix.
 
-    The benchmark's size is measured; up to block_words words it is sent to the executors at once,
-    beyond that in blocks of items whose results merge per document (hit word ranges are united).
+    The benchmark's size is measured; up to block_words words it is sent to the executors at once. A larger one is
+    searched in blocks of items, one after the other over the same rows, and the blocks' ranges are united.
     """
     spark = documents.sparkSession
     items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").alias("text")).where("item is not null and text is not null")
     size = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first()["n"]
     blocks = max(1, -(-int(size) // (6 * block_words)))
-    parts = []
+    found = documents
     for k in range(blocks):
         own = items.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == k) if blocks > 1 else items
-        rows = [(r["item"], r["text"].encode()) for r in own.toLocalIterator()]
-        sent = spark.sparkContext.broadcast(rows)
+        sent = spark.sparkContext.broadcast([(r["item"], r["text"].encode()) for r in own.toLocalIterator()])
 
         def phrases_of(sent=sent):
             return Phrases(sent.value, window)
 
-        parts.append(scan(documents, phrases_of, with_spans or blocks > 1))
+        found = scan(found, phrases_of, with_spans or blocks > 1, prefix if blocks == 1 else f"{prefix}__{k}_")
     if blocks == 1:
-        return parts[0].drop("hits")
-    all_parts = parts[0]
-    for p in parts[1:]:
-        all_parts = all_parts.unionByName(p)
-    united = (all_parts.withColumn("row", F.struct("doc_id", "n_words"))
-              .groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"),
-                                     F.flatten(F.collect_list("hits")).alias("hits"), F.flatten(F.collect_list("spans")).alias("spans")))
-    return united.select("doc_id", "n_words", _covered("hits").alias("n_hit"), "items", _merged("spans").alias("spans"))
+        return found.drop(f"{prefix}hits")
+    gathered = {n: F.flatten(F.array(*[F.col(f"{prefix}__{k}_{n}") for k in range(blocks)])) for n in ("items", "hits", "spans")}
+    out = found.select(*documents.columns, F.col(f"{prefix}__0_n_words").alias(f"{prefix}n_words"), *[c.alias(f"{prefix}__{n}") for n, c in gathered.items()])
+    return out.select(*documents.columns, f"{prefix}n_words", _covered(f"{prefix}__hits").alias(f"{prefix}n_hit"), F.array_distinct(f"{prefix}__items").alias(f"{prefix}items"), _merged(f"{prefix}__spans").alias(f"{prefix}spans"))
 
 
 def _merged(col: str):
@@ -325,28 +322,25 @@ def _covered(col: str):
 
 def report(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated (two items or more)."""
-    found = find(documents, benchmark, with_spans=False)
-    ids = F.array_sort("items")
+    found = find(documents.select("doc_id", "text"), benchmark, with_spans=False)
     return found.select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"),
-        F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"), (F.size("items") >= 2).alias("contaminated"))
+        F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"), (F.size("items") >= 2).alias("contaminated"))
 
 
 def remove(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents with every removal span cut out of the text; all other columns stay as they are.
 
     A span becomes one space. Documents without a hit are untouched; n_chars, if present, is renewed
-    where the text changed.
+    where the text changed. Rows need no id.
     """
-    spans = find(documents.where("text is not null"), benchmark).where("n_hit > 0").select(F.col("doc_id").alias("__id"), F.col("spans").alias("__spans")).dropDuplicates(["__id"])
-    joined = documents.join(spans, F.col("doc_id") == F.col("__id"), "left")
+    found = find(documents, benchmark, prefix="__d_").withColumnRenamed("__d_spans", "__spans")
     pieces = F.aggregate("__spans", F.struct(F.lit("").alias("s"), F.lit(0).cast("bigint").alias("at")), lambda acc, r: F.struct(
         F.concat(acc["s"], F.col("text").substr((acc["at"] + 1).cast("int"), (r[0] - acc["at"]).cast("int")), F.lit(" ")).alias("s"), r[1].alias("at")))
     cut = F.concat(pieces["s"], F.col("text").substr((pieces["at"] + 1).cast("int"), F.length("text")))
-    text = F.when(F.col("__spans").isNull(), F.col("text")).otherwise(cut)
-    out = joined.withColumn("__text", text)
-    cols = [F.col("__text").alias("text") if c == "text" else F.when(F.col("__spans").isNull(), F.col(c)).otherwise(F.length("__text")).cast(t).alias(c) if c == "n_chars" else F.col(c)
-            for c, t in documents.dtypes]
+    changed = F.size("__spans") > 0
+    out = found.withColumn("__text", F.when(changed, cut).otherwise(F.col("text")))
+    cols = [F.col("__text").alias("text") if c == "text" else F.when(changed, F.length("__text").cast(t)).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(c) for c, t in documents.dtypes]
     return out.select(*cols)
 
 
