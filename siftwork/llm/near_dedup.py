@@ -130,24 +130,31 @@ def first_regions(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     keys = _keys(classes, START)
     sizes = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    met = common.materialize(keys.join(sizes, "key").select("rep", "tree", "key", "n"), "region-keys")
-    return met, common.materialize(classes.join(met.select("rep").distinct(), "rep", "left_semi"), "region-classes")
+    met = common.materialize(keys.join(sizes, "key").select("rep", "tree", "key", "n"), "region-keys", True)
+    return met, common.materialize(classes.join(met.select("rep").distinct(), "rep", "left_semi"), "region-classes", True)
 
 
 def small_regions(met: DataFrame) -> DataFrame:
     return met.where(F.col("n") <= REGION).select(F.col("key").alias("region"), "rep", F.lit(False).alias("tie"))
 
 
-def deeper_regions(met: DataFrame, classes: DataFrame) -> DataFrame:
-    """Regions below the crowded ones, split value by value until they are small."""
+def _opened(regions: DataFrame) -> DataFrame:
+    """Members (key, component, ...) of regions that hold several components; the others have nothing left to link."""
+    mixed = regions.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
+    return regions.join(mixed, "key", "left_semi")
+
+
+def deeper_regions(met: DataFrame, classes: DataFrame, parts: DataFrame) -> DataFrame:
+    """Regions below the crowded ones, split value by value until they are small or of one component."""
     done = classes.sparkSession.createDataFrame([], "region bigint, rep bigint, tie boolean")
-    crowded = met.where(F.col("n") > REGION)
+    crowded = met.where(F.col("n") > REGION).join(parts, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    crowded = common.materialize(_opened(crowded), "crowded", True)
     for depth in range(START + 1, DEPTH + 1):
         if crowded.isEmpty():
             return done
-        level = crowded.select("rep", "tree").join(classes, "rep").select("rep", "tree", _prefix("tree", depth).alias("key"))
+        level = crowded.select("rep", "tree", "component").join(classes, "rep").select("rep", "tree", "component", _prefix("tree", depth).alias("key"))
         sizes = level.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-        below = common.materialize(level.join(sizes, "key").select("rep", "tree", "key", "n"), f"region{depth}")
+        below = common.materialize(_opened(level.join(sizes, "key").select("rep", "tree", "component", "key", "n")), f"region{depth}", True)
         done = done.unionByName(small_regions(below))
         crowded = below.where(F.col("n") > REGION)
         done = done.unionByName(_tie(crowded.join(classes, "rep"), depth) if depth < DEPTH else _blocks(crowded))
@@ -272,7 +279,7 @@ def confirm(pairs: DataFrame, documents: DataFrame) -> DataFrame:
                 ends = np.cumsum(sizes)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([sets[e - n : e].tobytes() for e, n in zip(ends, sizes, strict=True)], pa.binary())], names=["rep", "shingles"])
 
-    sets = common.materialize(texts.mapInArrow(sets_of, "rep bigint, shingles binary").dropDuplicates(["rep"]), "shingles")
+    sets = common.materialize(texts.mapInArrow(sets_of, "rep bigint, shingles binary").dropDuplicates(["rep"]), "shingles", True)
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -295,31 +302,31 @@ def confirm(pairs: DataFrame, documents: DataFrame) -> DataFrame:
 
 def group(documents: DataFrame) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id and kept."""
-    made = common.materialize(sketch(documents), "sketch")
+    made = common.materialize(sketch(documents), "sketch", True)
     ids = made.select(F.col("doc_id").cast("bigint").alias("doc_id"), "n_shingles", "set_hash")
-    reps = common.materialize(ids.where("set_hash is not null and doc_id is not null").groupBy("set_hash").agg(F.min("doc_id").alias("rep")), "classes")
+    reps = common.materialize(ids.where("set_hash is not null and doc_id is not null").groupBy("set_hash").agg(F.min("doc_id").alias("rep")), "classes", True)
     classes = made.select(F.col("doc_id").cast("bigint").alias("rep"), F.col("n_shingles").alias("size"), "signature").where("signature is not null").join(reps.select("rep").distinct(), "rep", "left_semi").dropDuplicates(["rep"])
-    classes = common.materialize(classes, "labels")
+    classes = common.materialize(classes, "labels", True)
     met, near = first_regions(classes)
 
     def shorten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([np.frombuffer(x, np.uint32).astype(np.uint16).tobytes() for x in batch.column(2).to_pylist()], pa.binary())], names=["rep", "size", "short"])
 
-    shorts = common.materialize(near.select("rep", "size", "signature").mapInArrow(shorten, "rep bigint, size bigint, short binary"), "shorts")
+    shorts = common.materialize(near.select("rep", "size", "signature").mapInArrow(shorten, "rep bigint, size bigint, short binary"), "shorts", True)
     first = small_regions(met).unionByName(_tie(met.where(F.col("n") > REGION).join(near, "rep"), START))
-    tried = common.materialize(candidates(first.join(shorts, "rep").withColumn("component", F.col("rep"))), "tried")
-    links = common.materialize(confirm(tried, documents), "links")
-    parts = common.materialize(common.components(links, "a", "b"), "parts").select(F.col("node").alias("rep"), "component")
+    tried = common.materialize(candidates(first.join(shorts, "rep").withColumn("component", F.col("rep"))), "tried", True)
+    links = common.materialize(confirm(tried, documents), "links", True)
+    parts = common.materialize(common.components(links, "a", "b"), "parts", True).select(F.col("node").alias("rep"), "component")
     # the families are joined; now every similar pair of different components, in small, tied and deeper regions
-    every = first.unionByName(deeper_regions(met, near)).join(parts, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    every = first.unionByName(deeper_regions(met, near, parts)).join(parts, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     open_regions = every.groupBy("region").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("region")
-    again = common.materialize(every.join(open_regions, "region", "left_semi").distinct(), "open-regions")
+    again = common.materialize(every.join(open_regions, "region", "left_semi").distinct(), "open-regions", True)
     listed = again.where("not tie").groupBy("rep").agg(F.collect_set("region").alias("regions"))  # one for each tree at most
     members = again.join(shorts, "rep").join(listed, "rep", "left").withColumn("regions", F.coalesce("regions", F.array().cast("array<bigint>")))
-    more = common.materialize(candidates(members).join(tried, ["a", "b"], "left_anti"), "more")
+    more = common.materialize(candidates(members).join(tried, ["a", "b"], "left_anti"), "more", True)
     if not more.isEmpty():
-        found = common.materialize(confirm(more, documents), "found")
+        found = common.materialize(confirm(more, documents), "found", True)
         if not found.isEmpty():
             parts = common.components(links.unionByName(found), "a", "b").select(F.col("node").alias("rep"), "component")
     named = reps.join(parts, "rep", "left").select("set_hash", F.coalesce("component", "rep").alias("__component"))
@@ -332,7 +339,7 @@ def group(documents: DataFrame) -> DataFrame:
 
 def keep_first(documents: DataFrame) -> DataFrame:
     """The documents without all but the first (smallest doc_id) of each group; one row of a repeated doc_id."""
-    grouped = common.materialize(group(documents), "near-groups")
+    grouped = common.materialize(group(documents), "near-groups", True)
     gone = grouped.where("not kept").select("doc_id").distinct()
     left = documents.join(gone, "doc_id", "left_anti").select(*documents.columns)
     again = grouped.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("__n")).where("__n > 1").select("doc_id")
