@@ -12,7 +12,7 @@ Candidates of a region come from full signatures: a maximum spanning forest firs
 confirmed on the full shingle sets, a second pass proposes every other pair of the region that looks similar
 and still lies in different components. Components of the confirmed links are the groups.
 
-A link is 100 * |A & B| >= 85 * |A | B| on sets of 5-word shingles (64-bit hashes). Texts without words
+A link is 100 * |A & B| >= percent * |A | B| (85 in the query, 80 in keep_first) on sets of 5-word shingles (64-bit hashes). Texts without words
 link with nothing; shorter texts are one shingle. Null is a text without words. Rows that share an id are
 one document; rows without an id belong to no group and are kept.
 """
@@ -36,9 +36,11 @@ DEPTH = 8
 START = 3
 REGION = 48
 LEADERS = 3
-#: Estimated similarity from which a pair is confirmed; three standard errors under the limit.
-ESTIMATE = 0.74
+#: How far under the limit a pair's estimated similarity may lie to be confirmed; three standard errors and more.
+MARGIN = 11
 PERCENT = 85
+#: Limit of keep_first, the usual one of near-duplicates.
+KEEP_PERCENT = 80
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _SEEDS = common.mix64(np.arange(1, TREES * DEPTH + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -206,7 +208,7 @@ def _forest(n: int, left: np.ndarray, right: np.ndarray, weight: np.ndarray) ->
     return out
 
 
-def _pairs_of(region: np.ndarray, rep: np.ndarray, group: np.ndarray, size: np.ndarray, sig: np.ndarray, regions: list[list[int]] | None) -> tuple[np.ndarray, np.ndarray]:
+def _pairs_of(region: np.ndarray, rep: np.ndarray, group: np.ndarray, size: np.ndarray, sig: np.ndarray, regions: list[list[int]] | None, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Similar pairs inside each region of rows sorted by region, of different groups.
 
     With each row's list of tree regions, every such pair, in the least of the regions that both are in, or in a
@@ -219,12 +221,12 @@ def _pairs_of(region: np.ndarray, rep: np.ndarray, group: np.ndarray, size: np.n
             continue
         i, j = np.triu_indices(b - a, 1)
         apart = (rep[a + i] != rep[a + j]) & (group[a + i] != group[a + j])
-        apart &= 100 * np.minimum(size[a + i], size[a + j]) >= PERCENT * np.maximum(size[a + i], size[a + j])
+        apart &= 100 * np.minimum(size[a + i], size[a + j]) >= percent * np.maximum(size[a + i], size[a + j])
         i, j = i[apart], j[apart]
         if not len(i):
             continue
         same = (sig[a + i] == sig[a + j]).mean(axis=1)
-        near = np.flatnonzero(same >= ESTIMATE)
+        near = np.flatnonzero(same >= (percent - MARGIN) / 100)
         i, j, same = i[near], j[near], same[near]
         if regions is not None:
             own = [set(regions[k]) for k in range(a, b)]
@@ -241,7 +243,7 @@ def _pairs_of(region: np.ndarray, rep: np.ndarray, group: np.ndarray, size: np.n
     return np.minimum(left, right), np.maximum(left, right)
 
 
-def candidates(members: DataFrame) -> DataFrame:
+def candidates(members: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Distinct candidate pairs (a, b) of members(region, rep, component, size, short and, for all pairs, regions)."""
     listed = "regions" in members.columns
 
@@ -258,7 +260,7 @@ def candidates(members: DataFrame) -> DataFrame:
                 part = rows.slice(0, end)
                 sig = np.frombuffer(b"".join(part.column(4).to_pylist()), np.uint16).reshape(end, TREES * DEPTH)
                 rep, group, size = (part.column(k).to_numpy() for k in (1, 2, 3))
-                a, b = _pairs_of(region[:end], rep, group, size, sig, part.column(5).to_pylist() if listed else None)
+                a, b = _pairs_of(region[:end], rep, group, size, sig, part.column(5).to_pylist() if listed else None, percent)
                 if len(a):
                     yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
@@ -267,7 +269,7 @@ def candidates(members: DataFrame) -> DataFrame:
     return found.distinct()
 
 
-def confirm(pairs: DataFrame, documents: DataFrame) -> DataFrame:
+def confirm(pairs: DataFrame, documents: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The pairs whose full shingle sets meet the limit."""
     ids = pairs.select(F.col("a").alias("__rep")).union(pairs.select("b")).distinct()
     texts = documents.select(F.col("doc_id").cast("bigint").alias("rep"), "text").join(ids, F.col("rep") == F.col("__rep"), "left_semi")
@@ -291,7 +293,7 @@ def confirm(pairs: DataFrame, documents: DataFrame) -> DataFrame:
                     both = np.concatenate((x, y))
                     both.sort(kind="stable")
                     shared = int(np.count_nonzero(both[1:] == both[:-1]))
-                    keep.append(100 * shared >= PERCENT * (len(both) - shared))
+                    keep.append(100 * shared >= percent * (len(both) - shared))
                 mask = pa.array(keep, pa.bool_())
                 yield pa.RecordBatch.from_arrays([part.column(0).filter(mask), part.column(1).filter(mask)], names=["a", "b"])
 
@@ -300,8 +302,8 @@ def confirm(pairs: DataFrame, documents: DataFrame) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(check, "a bigint, b bigint")
 
 
-def group(documents: DataFrame) -> DataFrame:
-    """Per document: doc_id, n_shingles, component_id and kept."""
+def group(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Per document: doc_id, n_shingles, component_id and kept; links of at least percent similarity."""
     made = common.materialize(sketch(documents), "sketch", True)
     ids = made.select(F.col("doc_id").cast("bigint").alias("doc_id"), "n_shingles", "set_hash")
     reps = common.materialize(ids.where("set_hash is not null and doc_id is not null").groupBy("set_hash").agg(F.min("doc_id").alias("rep")), "classes", True)
@@ -315,8 +317,8 @@ def group(documents: DataFrame) -> DataFrame:
 
     shorts = common.materialize(near.select("rep", "size", "signature").mapInArrow(shorten, "rep bigint, size bigint, short binary"), "shorts", True)
     first = small_regions(met).unionByName(_tie(met.where(F.col("n") > REGION).join(near, "rep"), START))
-    tried = common.materialize(candidates(first.join(shorts, "rep").withColumn("component", F.col("rep"))), "tried", True)
-    links = common.materialize(confirm(tried, documents), "links", True)
+    tried = common.materialize(candidates(first.join(shorts, "rep").withColumn("component", F.col("rep")), percent), "tried", True)
+    links = common.materialize(confirm(tried, documents, percent), "links", True)
     parts = common.materialize(common.components(links, "a", "b"), "parts", True).select(F.col("node").alias("rep"), "component")
     # the families are joined; now every similar pair of different components, in small, tied and deeper regions
     every = first.unionByName(deeper_regions(met, near, parts)).join(parts, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
@@ -324,9 +326,9 @@ def group(documents: DataFrame) -> DataFrame:
     again = common.materialize(every.join(open_regions, "region", "left_semi").distinct(), "open-regions", True)
     listed = again.where("not tie").groupBy("rep").agg(F.collect_set("region").alias("regions"))  # one for each tree at most
     members = again.join(shorts, "rep").join(listed, "rep", "left").withColumn("regions", F.coalesce("regions", F.array().cast("array<bigint>")))
-    more = common.materialize(candidates(members).join(tried, ["a", "b"], "left_anti"), "more", True)
+    more = common.materialize(candidates(members, percent).join(tried, ["a", "b"], "left_anti"), "more", True)
     if not more.isEmpty():
-        found = common.materialize(confirm(more, documents), "found", True)
+        found = common.materialize(confirm(more, documents, percent), "found", True)
         if not found.isEmpty():
             parts = common.components(links.unionByName(found), "a", "b").select(F.col("node").alias("rep"), "component")
     named = reps.join(parts, "rep", "left").select("set_hash", F.coalesce("component", "rep").alias("__component"))
@@ -337,9 +339,9 @@ def group(documents: DataFrame) -> DataFrame:
                       (F.col("doc_id").isNull() | (F.col("doc_id") == component)).alias("kept"))
 
 
-def keep_first(documents: DataFrame) -> DataFrame:
+def keep_first(documents: DataFrame, percent: int = KEEP_PERCENT) -> DataFrame:
     """The documents without all but the first (smallest doc_id) of each group; one row of a repeated doc_id."""
-    grouped = common.materialize(group(documents), "near-groups", True)
+    grouped = common.materialize(group(documents, percent), "near-groups", True)
     gone = grouped.where("not kept").select("doc_id").distinct()
     left = documents.join(gone, "doc_id", "left_anti").select(*documents.columns)
     again = grouped.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("__n")).where("__n > 1").select("doc_id")
