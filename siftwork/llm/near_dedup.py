@@ -157,9 +157,10 @@ def deeper_regions(met: DataFrame, classes: DataFrame, parts: DataFrame) -> Data
         level = crowded.select("rep", "tree", "component").join(classes, "rep").select("rep", "tree", "component", _prefix("tree", depth).alias("key"))
         sizes = level.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
         below = common.materialize(_opened(level.join(sizes, "key").select("rep", "tree", "component", "key", "n")), f"region{depth}", True)
-        done = done.unionByName(small_regions(below))
         crowded = below.where(F.col("n") > REGION)
-        done = done.unionByName(_tie(crowded.join(classes, "rep"), depth) if depth < DEPTH else _blocks(crowded))
+        tied = _tie(crowded.join(classes, "rep"), depth) if depth < DEPTH else _blocks(crowded)
+        # written level by level, so that no plan holds the others' joins
+        done = done.unionByName(common.materialize(small_regions(below).unionByName(tied), f"tied{depth}", True))
     return done
 
 
@@ -316,7 +317,7 @@ def group(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([np.frombuffer(x, np.uint32).astype(np.uint16).tobytes() for x in batch.column(2).to_pylist()], pa.binary())], names=["rep", "size", "short"])
 
     shorts = common.materialize(near.select("rep", "size", "signature").mapInArrow(shorten, "rep bigint, size bigint, short binary"), "shorts", True)
-    first = small_regions(met).unionByName(_tie(met.where(F.col("n") > REGION).join(near, "rep"), START))
+    first = common.materialize(small_regions(met).unionByName(_tie(met.where(F.col("n") > REGION).join(near, "rep"), START)), "first-regions", True)
     tried = common.materialize(candidates(first.join(shorts, "rep").withColumn("component", F.col("rep")), percent), "tried", True)
     links = common.materialize(confirm(tried, documents, percent), "links", True)
     parts = common.materialize(common.components(links, "a", "b"), "parts", True).select(F.col("node").alias("rep"), "component")
