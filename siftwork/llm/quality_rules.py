@@ -21,10 +21,12 @@ from . import common
 
 LEVEL = 3
 CHUNK = 4096
-#: (texts of fewer bytes than this, lowest ratio, highest ratio); the frame's header weighs on short texts.
-BANDS = ((128, 0.45, float("inf")), (256, 0.40, 1.05), (512, 0.40, 0.95), (1024, 0.38, 0.85), (2048, 0.36, 0.80), (4096, 0.34, 0.75), (8192, 0.31, 0.72), (65536, 0.27, 0.70), (float("inf"), 0.22, 0.70))
-#: Limits of a chunk; a last chunk of under half a chunk is judged with the whole text only.
-CHUNK_BAND = (0.30, 0.75)
+#: (texts of fewer bytes than this, lowest ratio, highest ratio); the frame's header weighs on short texts. The highest
+#: ratios lie between those measured of clean documents and of random letters and digits (and, from 2 KiB, of random letters).
+#: Under 96 bytes clean text is as incompressible as noise (1.14 at 64 bytes, both), so there is no upper limit.
+BANDS = ((96, 0.45, float("inf")), (112, 0.45, 1.025), (120, 0.45, 1.00), (128, 0.45, 0.96), (160, 0.40, 0.947), (192, 0.40, 0.90), (256, 0.40, 0.85), (384, 0.40, 0.83), (512, 0.40, 0.79), (1024, 0.38, 0.73), (2048, 0.36, 0.65), (4096, 0.34, 0.57), (8192, 0.31, 0.55), (65536, 0.27, 0.54), (float("inf"), 0.22, 0.54))
+#: Limits of a chunk. A last chunk has the upper limit of its own length's band, and no lower one if under half a chunk.
+CHUNK_BAND = (0.30, 0.55)
 
 _SPACE = b" \t\n\r\x0b\x0c"
 _NOT_WORD_CHARS = _SPACE + bytes(range(0x80, 0xC0))
@@ -36,20 +38,18 @@ def band(size: int) -> tuple[float, float]:
     return next((low, high) for limit, low, high in BANDS if size < limit)
 
 
-def ratios(text: bytes, compress) -> tuple[float, float, float]:
-    """Ratio of the whole text, and the lowest and highest of its chunks (the whole's if it has one)."""
+def ratios(text: bytes, compress) -> tuple[float, float, float, bool]:
+    """Ratio of the whole text, the lowest and highest of its chunks of half a chunk or more (the whole's if it has one), and whether all lie in their bands."""
     whole = len(compress(text)) / len(text)
+    low, high = band(len(text))
+    fine = low <= whole <= high
     if len(text) <= CHUNK:
-        return whole, whole, whole
+        return whole, whole, whole, fine
     parts = [text[i : i + CHUNK] for i in range(0, len(text), CHUNK)]
-    each = [len(compress(p)) / len(p) for p in parts if len(p) >= CHUNK // 2]
-    return whole, min(each), max(each)
-
-
-def in_bands(size: int, whole: float, low_chunk: float, high_chunk: float) -> bool:
-    low, high = band(size)
-    fine = low <= whole <= high
-    return fine if size <= CHUNK else fine and CHUNK_BAND[0] <= low_chunk and high_chunk <= CHUNK_BAND[1]
+    each = [len(compress(p)) / len(p) for p in parts]
+    highest = [CHUNK_BAND[1] if len(p) == CHUNK else band(len(p))[1] for p in parts]
+    full = each if len(parts[-1]) >= CHUNK // 2 else each[:-1]
+    return whole, min(full), max(full), fine and CHUNK_BAND[0] <= min(full) and all(x <= h for x, h in zip(each, highest, strict=True))
 
 
 def repeated_words(counts: np.ndarray, ids: np.ndarray) -> np.ndarray:
@@ -101,7 +101,7 @@ def score(documents: DataFrame) -> DataFrame:
                 dups = [len(x) - len(set(x)) for x in lines]
                 failed = (n_words < 20) | (100 * repeat > 30 * n_words)
                 found = [ratios(t, compress) if t else None for t in texts]
-                kept = [not f and r is not None and in_bands(len(t), *r) for t, f, r in zip(texts, failed, found, strict=True)]
+                kept = [not f and r is not None and r[3] for f, r in zip(failed, found, strict=True)]
                 each = [[r and r[k] for r in found] for k in range(3)]
                 columns = [part.column(0), n_words, chars, symbols, dups, repeat, failed, kept, *each]
                 yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
