@@ -36,8 +36,9 @@ DEPTH = 8
 START = 3
 REGION = 48
 LEADERS = 3
-#: How far under the limit a pair's estimated similarity may lie to be confirmed; three standard errors and more.
-MARGIN = 11
+#: How far under the limit a pair's estimated similarity may lie to be confirmed; five standard errors and more,
+#: so that a pair at the limit is dropped with a probability of 1 in 10,000,000 or less.
+MARGIN = 20
 PERCENT = 85
 #: Limit of keep_first, the usual one of near-duplicates.
 KEEP_PERCENT = 80
