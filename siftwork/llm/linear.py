@@ -1,10 +1,12 @@
 """Hashed text features and linear models on them, shared by the quality and toxicity classifiers.
 
-A text is its distinct tokens (runs of anything but ASCII white space). A token's features are its folded word, the word's
-prefixes, and the token's shape; a text has a few features of its own (length, variety, repeated lines).
-All are hashed to BITS bits, enough that words of a corpus do not meet a model's weights by chance; a model keeps the
+A text is its distinct tokens (runs of anything but white space). A token's features are its folded word, the word's
+prefixes, and the token's shape; a text has a few features of its own (length, variety, repeated lines). A run of more
+than LONG bytes without punctuation (a script without spaces, joined words) is taken apart at every sign that is
+no letter or digit, and what is still longer counts as all of its runs of GRAM characters.
+All are hashed to 32 bits, enough that words of a corpus do not meet a model's weights by chance; a model keeps the
 weights of the slots it met. Since a model is linear, a token's score is the sum of its features' weights, made
-once for each distinct token of a batch. Whole texts are read.
+once for each distinct token of a batch. Whole texts are read, whatever their tokens' lengths.
 """
 
 from __future__ import annotations
@@ -21,7 +23,6 @@ from pyspark.sql import functions as F
 
 from . import common
 
-BITS = 32
 PREFIXES = (3, 4, 5, 6)
 #: Bounds of the sample that a model is fitted on: labelled rows of each class, in the order of a hash of their id.
 SAMPLE_ROWS = 3000
@@ -30,24 +31,55 @@ _PUNCTUATION = bytes(c for c in _ASCII if not chr(c).isalnum())
 _OUTLINE = bytes(65 if 65 <= c <= 90 else 97 if 97 <= c <= 122 else 48 if 48 <= c <= 57 else c for c in range(256))
 _BEYOND = bytes(range(128, 256))
 _RUNS = re.compile(rb"(.)\1+", re.S)
+#: Bytes of a word that stands for itself; longer runs are taken apart.
+LONG = 64
+GRAM = 3
+_SIGNS = re.compile(r"[\W_]+")
+#: UTF-8 of white space outside ASCII: no-break, ideographic and zero-width space.
+_WIDE_SPACE = (b"\xc2\xa0", b"\xe3\x80\x80", b"\xe2\x80\x8b")
 #: First values of the checksums, one for each kind of feature.
 _WORD, _PREFIX, _SHAPE, _TEXT = 1, 2, 3, 4
 
 
 def word_slots(word: bytes) -> tuple[int, ...]:
     """Hashed features of a folded word: itself and its beginnings (of 3 to 6 bytes)."""
-    word = word[:64]
     return (crc32(word, _WORD), *[crc32(word[:n], _PREFIX) for n in PREFIXES if len(word) > n])
 
 
+def parts(token: bytes) -> set[bytes]:
+    """The words of a long folded token: its runs of letters and digits, and all GRAM characters in a row of those still too long."""
+    out: set[bytes] = set()
+    for run in _SIGNS.split(token.decode("utf-8", "surrogatepass")):
+        raw = run.encode("utf-8", "surrogatepass")
+        if len(raw) <= LONG:
+            out.add(raw)
+        else:
+            out.update(run[i : i + GRAM].encode("utf-8", "surrogatepass") for i in range(len(run) - GRAM + 1))
+    return out - {b""}
+
+
+def split(text: bytes) -> list[bytes]:
+    """Tokens of a UTF-8 text: runs of anything but white space."""
+    for space in _WIDE_SPACE:
+        text = text.replace(space, b" ")
+    return text.split()
+
+
 def words(text: str) -> set[bytes]:
     """Distinct folded words: lower case, without ASCII punctuation."""
-    return set(text.lower().encode("utf-8", "surrogatepass").translate(None, _PUNCTUATION).split())
+    raw = text.lower().encode("utf-8", "surrogatepass")
+    found = set(split(raw.translate(None, _PUNCTUATION)))
+    if max(map(len, found), default=0) > LONG:
+        found = {w for w in found if len(w) <= LONG}
+        for token in set(split(raw)):
+            if len(token) > LONG and len(token.translate(None, _PUNCTUATION)) > LONG:
+                found |= parts(token)
+    return found
 
 
 def shape(token: bytes) -> bytes:
     """A token's outline: ASCII letters by case, digits, and punctuation as it is, runs collapsed; other letters left out."""
-    return _RUNS.sub(rb"\1", token[:64].translate(_OUTLINE, _BEYOND))[:12]
+    return _RUNS.sub(rb"\1", token.translate(_OUTLINE, _BEYOND))
 
 
 def text_slots(tokens: list[bytes], distinct: int, text: bytes) -> list[int]:
@@ -72,14 +104,16 @@ class Tokens:
         if found is None:
             if len(self.known) >= self.keep:
                 self.known.clear()
-            word = token.lower().translate(None, _PUNCTUATION)
-            found = self.known[token] = (crc32(shape(token), _SHAPE), *(word_slots(word) if word else ()))
+            folded = token.lower()
+            word = folded.translate(None, _PUNCTUATION)
+            own = {word} - {b""} if len(word) <= LONG else parts(folded)
+            found = self.known[token] = (crc32(shape(token), _SHAPE), *[s for w in sorted(own) for s in word_slots(w)])
         return found
 
 
 def tokens_of(text: str) -> tuple[bytes, list[bytes], dict[bytes, int]]:
     raw = text.encode("utf-8", "surrogatepass")
-    tokens = raw.split()
+    tokens = split(raw)
     return raw, tokens, Counter(tokens)
 
 
@@ -165,46 +199,66 @@ def sample_ids(labels: DataFrame, label: str, rows: int = SAMPLE_ROWS) -> tuple[
 
 
 def sampled(documents: DataFrame, ids: list[tuple[int, int]]) -> DataFrame:
-    """The sampled documents (doc_id, text, y); the id list is bounded by the sample."""
+    """The sampled documents (doc_id, text, y), written; the id list is bounded by the sample."""
     spark = documents.sparkSession
     kind = documents.schema["doc_id"].dataType.simpleString()
     frame = spark.createDataFrame(ids, f"doc_id {kind}, y int")
-    return documents.select("doc_id", "text").where("text is not null").join(F.broadcast(frame), "doc_id")
+    return common.materialize(documents.select("doc_id", "text").where("text is not null").join(F.broadcast(frame), "doc_id"), "sampled")
+
 
+def vectors(rows: DataFrame, present: bool, least: int) -> tuple[Sparse, np.ndarray]:
+    """Sparse training matrix of written (doc_id, text, y), which are deleted, and its y; only slots that `least` rows have.
 
-def vectors(rows: DataFrame, present: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Sparse training matrix of (doc_id, text, y): starts, slots, values, y. Rows that share a doc_id come in no special order."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Slots are counted on the executors first, so the driver gets the frequent ones only. Rows that share a doc_id come
+    in no special order.
+    """
+    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[tuple[np.ndarray, np.ndarray]]]]:
         made = Featurizer()
         for batch in batches:
             for part in common.text_slices(batch, 1):
-                slots, values = [], []
+                found = []
                 for text in part.column(1).to_pylist():
                     if present:
-                        s = np.sort(np.fromiter(made.present(text), np.int64))
-                        v = np.zeros(0, np.float32)
+                        found.append((np.sort(np.fromiter(made.present(text), np.int64)), np.zeros(0, np.float32)))
                     else:
                         got = sorted(made.counts(text).items())
-                        s, v = np.array([a for a, _ in got], np.int64), np.array([b for _, b in got], np.float32)
-                    slots.append(s.tobytes())
-                    values.append(v.tobytes())
-                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.string()), part.column(2), pa.array(slots, pa.binary()), pa.array(values, pa.binary())], names=["doc_id", "y", "slots", "vals"])
-
-    got = rows.select("doc_id", "text", "y").mapInArrow(run, "doc_id string, y int, slots binary, vals binary").toLocalIterator()
-    each = sorted((r["doc_id"], bytes(r["slots"]), bytes(r["vals"]), r["y"]) for r in got)
-    slots = [np.frombuffer(s, np.int64) for _, s, _, _ in each]
-    starts = np.concatenate(([0], np.cumsum([len(s) for s in slots]))).astype(np.int64)
-    flat = np.concatenate(slots) if slots else np.zeros(0, np.int64)
-    values = np.ones(len(flat), np.float32) if present else np.concatenate([np.frombuffer(v, np.float32) for _, _, v, _ in each]) if each else np.zeros(0, np.float32)
-    return starts, flat, values, np.array([y for *_, y in each], np.int64)
-
-
-def frequent(starts: np.ndarray, slots: np.ndarray, values: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The matrix without slots that fewer than `least` rows have."""
-    _, at, times = np.unique(slots, return_inverse=True, return_counts=True)
-    keep = (times >= least)[at]
-    doc = np.repeat(np.arange(len(starts) - 1), np.diff(starts))[keep]
-    return np.concatenate(([0], np.cumsum(np.bincount(doc, minlength=len(starts) - 1)))).astype(np.int64), slots[keep], values[keep]
+                        found.append((np.array([a for a, _ in got], np.int64), np.array([b for _, b in got], np.float32)))
+                yield part, found
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, found in features(batches):
+            slots, n = np.unique(np.concatenate([s for s, _ in found]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(slots), pa.array(n, pa.int64())], names=["slot", "n"])
+
+    rows = rows.select("doc_id", "text", "y")
+    spark = rows.sparkSession
+    counted = rows.mapInArrow(count, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    columns = np.sort(counted.select("slot").toArrow().column(0).to_numpy())
+    sent = spark.sparkContext.broadcast(columns)
+
+    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = sent.value
+        for part, found in features(batches):
+            at, values = [], []
+            for s, v in found:
+                place = np.searchsorted(known, s)
+                met = place < len(known)
+                met[met] = known[place[met]] == s[met]
+                at.append(place[met].astype(np.int32).tobytes())
+                values.append(v[met].tobytes() if len(v) else b"")
+            yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.string()), part.column(2), pa.array(at, pa.binary()), pa.array(values, pa.binary())], names=["doc_id", "y", "at", "vals"])
+
+    got = rows.mapInArrow(index, "doc_id string, y int, at binary, vals binary").toArrow()
+    got = got.sort_by([("doc_id", "ascending"), ("at", "ascending"), ("y", "ascending")])
+    y = got.column("y").to_numpy().astype(np.int64)
+    at = [np.frombuffer(x.as_buffer(), np.int32) for x in got.column("at")]
+    starts = np.concatenate(([0], np.cumsum([len(x) for x in at]))).astype(np.int64)
+    flat = np.concatenate(at) if at else np.zeros(0, np.int32)
+    values = None if present or not at else np.concatenate([np.frombuffer(x.as_buffer(), np.float32) for x in got.column("vals")])
+    del got, at
+    sent.destroy()
+    common.drop_table(rows)
+    return Sparse(starts, columns, flat, values), y
 
 
 def minimise(value_and_gradient: Callable[[np.ndarray], tuple[float, np.ndarray]], x: np.ndarray, rounds: int = 100, memory: int = 8) -> np.ndarray:
@@ -244,24 +298,34 @@ def minimise(value_and_gradient: Callable[[np.ndarray], tuple[float, np.ndarray]
 
 
 class Sparse:
-    """Products with a row-compressed matrix on its own columns."""
+    """A row-compressed matrix: columns names the slot of each column, at holds the column of each entry; values of None are ones."""
 
-    def __init__(self, starts: np.ndarray, slots: np.ndarray, values: np.ndarray):
+    def __init__(self, starts: np.ndarray, columns: np.ndarray, at: np.ndarray, values: np.ndarray | None = None):
+        self.starts, self.columns, self.at, self.values = starts, columns, at, values
         self.rows = len(starts) - 1
-        self.columns, self.at = np.unique(slots, return_inverse=True)
-        self.doc = np.repeat(np.arange(self.rows), np.diff(starts))
-        self.values = values.astype(np.float64)
+        self.doc = np.repeat(np.arange(self.rows, dtype=np.int32), np.diff(starts))
 
     def times(self, w: np.ndarray) -> np.ndarray:
-        return np.bincount(self.doc, weights=self.values * w[self.at], minlength=self.rows)
+        each = w[self.at]
+        return np.bincount(self.doc, weights=each if self.values is None else each * self.values, minlength=self.rows)
 
     def back(self, r: np.ndarray) -> np.ndarray:
-        return np.bincount(self.at, weights=self.values * r[self.doc], minlength=len(self.columns))
+        each = r[self.doc]
+        return np.bincount(self.at, weights=each if self.values is None else each * self.values, minlength=len(self.columns))
 
+    def row(self, k: int) -> np.ndarray:
+        return self.at[self.starts[k] : self.starts[k + 1]]
 
     def rows_with(self, column: int) -> np.ndarray:
         return self.doc[self.at == column]
 
+    def only(self, kept: np.ndarray) -> Sparse:
+        """The matrix of the kept columns (a mask)."""
+        entries = kept[self.at]
+        number = np.cumsum(kept, dtype=np.int32) - 1
+        starts = np.concatenate(([0], np.cumsum(np.bincount(self.doc[entries], minlength=self.rows)))).astype(np.int64)
+        return Sparse(starts, self.columns[kept], number[self.at[entries]], None if self.values is None else self.values[entries])
+
 
 def named(columns: np.ndarray, w: np.ndarray, least: float = 1e-4) -> dict[int, float]:
     """Weights by slot, without negligible ones."""

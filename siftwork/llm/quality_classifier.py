@@ -95,11 +95,12 @@ def learn(documents: DataFrame, ratings: DataFrame, rows: int = linear.SAMPLE_RO
     ids, totals = linear.sample_ids(ratings, "grade", rows)
     if not ids:
         return Model([0], {}, np.zeros(0))
-    starts, slots, values, y = linear.vectors(linear.sampled(documents, ids), False)
-    starts, slots, values = linear.frequent(starts, slots, values * SCALE, LEAST)
+    matrix, y = linear.vectors(linear.sampled(documents, ids), False, LEAST)
+    if matrix.values is not None:
+        matrix.values = matrix.values * np.float32(SCALE)
     met = np.bincount(y, minlength=max(totals) + 1) if len(y) and min(totals) >= 0 else None
     share = np.array([totals[g] / (met[g] if met is not None else 1) for g in y.tolist()]) if len(y) else np.zeros(0)
-    return fit(linear.Sparse(starts, slots, values), y, share)
+    return fit(matrix, y, share)
 
 
 def grade(documents: DataFrame, model: Model, tail: int = TAIL) -> DataFrame:

@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 from . import common, linear
 
 LEXICONS = 5
+#: Parameter of the model: entries of all induced lexicons together.
 ENTRIES = 400
 PRECISION = 0.9
 COVER = 3
@@ -45,8 +46,8 @@ PENALTY = 0.00003
 INSULTS = frozenset(w.encode() for w in (
     "idiot idiots moron morons stupid dumb loser losers pathetic scum trash garbage worthless disgusting clown imbecile jerk bastard "
     "dummkopf idioten arschloch abschaum schwachkopf widerlich estúpido estupido imbécil idiota basura asqueroso payaso crétin débile ordure minable").split())
-#: Three words in capitals in a row; letters around a run of masking signs.
-PATTERNS = (re.compile(rb"[A-Z]{3,}[^A-Za-z]+[A-Z]{3,}[^A-Za-z]+[A-Z]{3,}"), re.compile(rb"[*@#$%]{2,}[a-z]"))
+#: Three words in capitals in a row; a letter after masking signs. Neither looks at a sign more than a few times.
+PATTERNS = (re.compile(rb"(?<![A-Z])[A-Z]{3,}+[^A-Za-z]++[A-Z]{3,}+[^A-Za-z]++[A-Z]{3}"), re.compile(rb"[*@#$%]{2}[a-z]"))
 #: Direct address.
 ADDRESS = tuple(x.encode() for x in ("you are", "you're", "du bist", "ihr seid", "tú eres", "eres un", "tu es", "vous êtes"))
 
@@ -57,13 +58,14 @@ def voters() -> int:
 
 def induce(matrix: linear.Sparse, toxic: np.ndarray, ratio: float) -> list[int]:
     """Lexicon slots, best first; ratio is how many clean documents of the corpus a sampled one stands for, against a toxic one."""
-    clean_rows = np.bincount(matrix.at, weights=~toxic[matrix.doc], minlength=len(matrix.columns)) * ratio
-    toxic_rows = np.bincount(matrix.at, weights=toxic[matrix.doc], minlength=len(matrix.columns))
+    clean_rows = matrix.back((~toxic).astype(float)) * ratio
+    toxic_rows = matrix.back(toxic.astype(float))
     fine = toxic_rows >= PRECISION * (toxic_rows + clean_rows)
     uncovered = toxic.copy()
+    left = toxic_rows.copy()  # of each column, the toxic rows that no entry covers yet
     out: list[int] = []
     while len(out) < ENTRIES:
-        gain = np.bincount(matrix.at, weights=uncovered[matrix.doc], minlength=len(matrix.columns)) * fine
+        gain = left * fine
         best = gain.max(initial=0)
         if best < COVER:
             break
@@ -72,7 +74,10 @@ def induce(matrix: linear.Sparse, toxic: np.ndarray, ratio: float) -> list[int]:
         pick = int(tied[np.argmax(toxic_rows[tied])])
         out.append(int(matrix.columns[pick]))
         fine[pick] = False
-        uncovered[matrix.rows_with(pick)] = False
+        for k in matrix.rows_with(pick):
+            if uncovered[k]:
+                uncovered[k] = False
+                left[matrix.row(k)] -= 1
     return out
 
 
@@ -173,19 +178,14 @@ class Model:
 def fit_linear(matrix: linear.Sparse, target: np.ndarray, share: np.ndarray, rounds: int = 200) -> Model:
     """L1-penalised logistic regression on soft labels, by accelerated proximal gradient steps."""
     share = share / share.sum()
-    size = len(matrix.columns)
     # columns that tell nothing by themselves are left out
-    weight = share[matrix.doc]
-    mass = np.bincount(matrix.at, weights=weight, minlength=size)
-    hits = np.bincount(matrix.at, weights=weight * target[matrix.doc], minlength=size)
+    mass, hits = matrix.back(share), matrix.back(share * target)
     rate = float(share @ target)
-    number = np.bincount(matrix.at, minlength=size)
     noise = np.sqrt(mass * rate * (1 - rate) / len(target))
     telling = np.abs(hits - rate * mass) > 3 * noise
-    keep = (telling & (number >= COVER))[matrix.at]
-    if not keep.any():
+    if not telling.any():
         return Model({}, float(np.log(max(rate, 1e-6) / max(1 - rate, 1e-6))))
-    part = linear.Sparse(np.concatenate(([0], np.cumsum(np.bincount(matrix.doc[keep], minlength=matrix.rows)))), matrix.columns[matrix.at[keep]], matrix.values[keep])
+    part = matrix.only(telling)
     w, base = np.zeros(len(part.columns)), float(np.log(max(rate, 1e-6) / max(1 - rate, 1e-6)))
     v, v_base, momentum, step = w.copy(), base, 1.0, 4.0
 
@@ -236,13 +236,13 @@ def learn(documents: DataFrame, labels: DataFrame, learners, rows: int = linear.
     flat = Model({}, float(np.log(max(share, 1e-6) / max(1 - share, 1e-6))))
     if len(totals) < 2:
         return flat
-    starts, slots, values, y = linear.vectors(linear.sampled(documents, ids), True)
+    matrix, y = linear.vectors(linear.sampled(documents, ids), True, COVER)
     toxic = y == 1
     if not toxic.any() or toxic.all():
         return flat
-    starts, slots, values = linear.frequent(starts, slots, values, COVER)
     ratio = (totals[0] / (~toxic).sum()) / (totals[1] / toxic.sum())
-    lexicon = induce(linear.Sparse(starts, slots, values), toxic, ratio)
+    lexicon = induce(matrix, toxic, ratio)
+    del matrix
     # the vote patterns of every document; narrow, and counted before they leave their task
     voted = common.materialize(vote(documents, lexicon), "votes")
     patterns = {r["votes"]: r["n"] for r in voted.groupBy("votes").agg(F.count("*").alias("n")).collect()}
@@ -262,11 +262,12 @@ def learn(documents: DataFrame, labels: DataFrame, learners, rows: int = linear.
             chosen.setdefault(r["doc_id"], r["votes"])
     if len(sizes) < 2:
         return flat
-    starts, slots, values, votes = linear.vectors(linear.sampled(documents, sorted(chosen.items())), True)
+    common.drop_table(voted)
+    matrix, votes = linear.vectors(linear.sampled(documents, sorted(chosen.items())), True, COVER)
     target = model.posterior[votes]
     sides = np.isin(votes, sorted(likely))
     weight = np.where(sides, sizes[True] / max(sides.sum(), 1), sizes[False] / max((~sides).sum(), 1))
-    return fit_linear(linear.Sparse(starts, slots, values), target, weight)
+    return fit_linear(matrix, target, weight)
 
 
 def score(documents: DataFrame, model: Model, column: str = "score") -> DataFrame:

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -71,7 +72,7 @@ def test_ordinal_regression(spark, awkward, nothing):
 def test_gradient_of_the_ordinal_model():
     r = np.random.default_rng(1)
     starts = np.arange(0, 41, 2)
-    matrix = linear.Sparse(starts, r.integers(0, 6, 40), r.random(40))
+    matrix = linear.Sparse(starts, np.arange(6), r.integers(0, 6, 40), r.random(40))
     seen = []
     original = linear.minimise
     linear.minimise = lambda f, x, *a: (seen.append((f, x)), x)[1]
@@ -88,6 +89,42 @@ def test_gradient_of_the_ordinal_model():
         assert g[k] == pytest.approx((f(x + step)[0] - f(x - step)[0]) / 2e-6, rel=1e-3, abs=1e-6)
 
 
+def test_vectors_hold_the_frequent_slots(spark):
+    texts = ["one two two", "two three", "three two four", None, "", "four\xa0one"]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id bigint, text string")
+    matrix, y = linear.vectors(linear.sampled(docs, [(k, 7 + k) for k in range(6)]), True, 2)
+    made = linear.Featurizer()
+    sets = {7 + k: made.present(t) for k, t in enumerate(texts) if t is not None}
+    every = [s for x in sets.values() for s in x]
+    frequent = sorted({s for s in every if every.count(s) >= 2})
+    assert matrix.columns.tolist() == frequent
+    for k, which in enumerate(y.tolist()):
+        assert matrix.columns[matrix.row(k)].tolist() == sorted(sets[which] & set(frequent))
+    shares, which = linear.vectors(linear.sampled(docs, [(k, k) for k in range(6)]), False, 1)
+    for k, doc in enumerate(which.tolist()):
+        assert dict(zip(shares.columns[shares.row(k)].tolist(), shares.values[shares.starts[k] : shares.starts[k + 1]].tolist(), strict=True)) == pytest.approx(made.counts(texts[doc]))
+
+
+def test_long_runs_are_read_to_their_end():
+    far = "漢字文" * 2000 + "悪口言" + "漢字文" * 2000
+    assert linear.words(far) >= {"悪口言".encode()} and linear.words("x/" * 100 + "idiot" + "/x" * 100) == {b"x", b"idiot"}
+    assert linear.words("You\xa0Idiot\u3000now") == {b"you", b"idiot", b"now"} and linear.words("a" * 64) == {b"a" * 64}
+    weights = dict.fromkeys(linear.word_slots("悪口言".encode()), 1.0)
+    assert linear.Scorer(weights).of_present(far) > 1 and linear.Scorer(weights).of_counts(far) > 0
+
+
+@pytest.mark.parametrize("text", ["A" * 10**6, "*" * 10**6, "AAA 1 " * 200_000 + "a", "AAA" + "." * 10**6, "A*" * 500_000])
+def test_patterns_take_linear_time(text):
+    began = time.process_time()
+    toxicity.Votes([]).of(text)
+    assert time.process_time() - began < 5
+
+
+def test_patterns():
+    hits = lambda t: [p.search(t) is not None for p in toxicity.PATTERNS]
+    assert hits(b"xABC, DEF! GHIJ") == [True, False] and hits(b"ABC DEF gHI") == [False, False] and hits(b"a***b *c") == [False, True] and hits(b"ABC def GHI JKL") == [False, False]
+
+
 def toxic_rows(seed: int, n: int):
     r = random.Random(seed)
     out = []
