@@ -1,20 +1,22 @@
 """Near-duplicate documents by an LSH forest over MinHash signatures.
 
 Documents with the same shingle set are one class. Each class has TREES labels of DEPTH MinHash values. A
-tree sorts the classes by its label: classes that share a prefix are neighbours. A region is a shared
-prefix of at least START values; where more than REGION classes share it, the region is split by
-the next value, and so on, so the depth adapts to how crowded a region is. A region that is still too
-large at full depth is cut into blocks of the sorted order, one block sharing a class with the next.
-Before a crowded region is split, all of it is tied to a few leaders, classes whose labels agree most with
-the region's majority values, so a family that the split separates stays joined through them.
-
-Candidates of a region come from full signatures: a maximum spanning forest first. After these links are
-confirmed on the full shingle sets, a second pass proposes every other pair of the region that looks similar
-and still lies in different components. Components of the confirmed links are the groups.
-
-A link is 100 * |A & B| >= percent * |A | B| (85 in the query, 80 in keep_first) on sets of 5-word shingles (64-bit hashes). Texts without words
-link with nothing; shorter texts are one shingle. Null is a text without words. Rows that share an id are
-one document; rows without an id belong to no group and are kept.
+tree sorts the classes by its label; classes that share the first START values are a region.
+
+First the families are joined: the first JOINING trees' classes that share a region are sorted by label, and in runs of
+this order each class meets its neighbours of longest common prefix and a leader, the class that agrees most with the
+run's majority values. The spanning forest of what looks similar is confirmed on the full shingle sets, and the
+components of the links are taken. Then, in all trees, only regions that still hold several components matter. In one of
+up to REGION classes, all pairs of different components that look similar are confirmed. A larger one is crowded, and
+its depth adapts: it is split by the rarest shingles of its classes. Two sets of the wanted similarity share one of
+each set's first n - wanted + 1 shingles in any common order; in an order by rising frequency over all crowded classes
+these are what a class does not share with its family. Classes that share such a shingle are a region of
+its own; if that is crowded still, its classes outside the largest component meet all others in blocks of REGION.
+So no pair of a crowded region is left unseen, and a family does not form its pairs.
+
+A link is 100 * |A & B| >= percent * |A | B| (85 in the query, 80 in keep_first) on sets of 5-word shingles (64-bit hashes). Texts
+without words link with nothing; shorter texts are one shingle. Null is a text without words. Rows that share an id are
+one document, whose text is the smallest of theirs; rows without an id belong to no group and are kept.
 """
 
 from __future__ import annotations
@@ -34,8 +36,14 @@ SHINGLE = 5
 TREES = 16
 DEPTH = 8
 START = 3
+#: Trees that join the families.
+JOINING = 4
 REGION = 48
-LEADERS = 3
+#: Classes of one run of the sorted order that get a leader, and neighbours before a class in the order.
+RUN = 512
+NEIGHBOURS = 3
+#: Counters of the shingle frequencies that order a crowded class's shingles; any order gives the same links.
+COUNTERS = 1 << 20
 #: How far under the limit a pair's estimated similarity may lie to be confirmed; five standard errors and more,
 #: so that a pair at the limit is dropped with a probability of 1 in 10,000,000 or less.
 MARGIN = 20
@@ -115,80 +123,132 @@ def sketch(documents: DataFrame) -> DataFrame:
     return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles bigint, set_hash binary, signature binary")
 
 
-def _prefix(tree: str, depth: int):
-    """Hash key of a tree's first `depth` label values, cut from the binary signature."""
-    at = F.col(tree) * (4 * DEPTH) + 1
-    return F.xxhash64(F.col(tree), F.lit(depth), F.col("signature").substr(at.cast("int"), F.lit(4 * depth)))
+def _trees(classes: DataFrame, trees: int, *columns: str) -> DataFrame:
+    """A row for each class and tree: the columns, tree and region key (of the first START label values)."""
+    tree = F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))
+    at = F.col("tree") * (4 * DEPTH) + 1
+    return classes.select(*columns, "signature", tree.alias("tree")).select(*columns, "tree", F.xxhash64("tree", F.col("signature").substr(at, F.lit(4 * START))).alias("key"))
 
 
-def _keys(classes: DataFrame, depth: int) -> DataFrame:
-    trees = F.explode(F.array(*[F.lit(t) for t in range(TREES)]))
-    return classes.select("rep", "signature", trees.alias("tree")).select("rep", "tree", _prefix("tree", depth).alias("key"))
+def sorted_order(classes: DataFrame) -> DataFrame:
+    """Rows (tree, label, rep, size, short) of the joining trees' shared regions, in sorted order; a region may go over several partitions."""
+    keys = _trees(classes, JOINING, "rep")
+    shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    met = keys.join(shared, "key").groupBy("rep").agg(F.collect_set("tree").alias("trees"))  # JOINING at most
+    rows = classes.join(met, "rep").select("rep", "size", "short", "signature", F.explode("trees").alias("tree"))
+    rows = common.materialize(rows.select("tree", F.col("signature").substr(F.col("tree") * (4 * DEPTH) + 1, F.lit(4 * DEPTH)).alias("label"), "rep", "size", "short"), "labels", True)
+    parts = max(1, int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return rows.repartitionByRange(parts, "tree", "label", "rep").sortWithinPartitions("tree", "label", "rep")
 
 
-def first_regions(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Members (rep, tree, key, n) of prefixes of START values that several classes share, and the classes among them.
-
-    Keys travel without their signatures, and are counted by pre-aggregated counts.
-    """
-    keys = _keys(classes, START)
-    sizes = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    met = common.materialize(keys.join(sizes, "key").select("rep", "tree", "key", "n"), "region-keys", True)
-    return met, common.materialize(classes.join(met.select("rep").distinct(), "rep", "left_semi"), "region-classes", True)
-
-
-def small_regions(met: DataFrame) -> DataFrame:
-    return met.where(F.col("n") <= REGION).select(F.col("key").alias("region"), "rep", F.lit(False).alias("tie"))
-
-
-def _opened(regions: DataFrame) -> DataFrame:
-    """Members (key, component, ...) of regions that hold several components; the others have nothing left to link."""
-    mixed = regions.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    return regions.join(mixed, "key", "left_semi")
-
-
-def deeper_regions(met: DataFrame, classes: DataFrame, parts: DataFrame) -> DataFrame:
-    """Regions below the crowded ones, split value by value until they are small or of one component."""
-    done = classes.sparkSession.createDataFrame([], "region bigint, rep bigint, tie boolean")
-    crowded = met.where(F.col("n") > REGION).join(parts, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    crowded = common.materialize(_opened(crowded), "crowded", True)
-    for depth in range(START + 1, DEPTH + 1):
-        if crowded.isEmpty():
-            return done
-        level = crowded.select("rep", "tree", "component").join(classes, "rep").select("rep", "tree", "component", _prefix("tree", depth).alias("key"))
-        sizes = level.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-        below = common.materialize(_opened(level.join(sizes, "key").select("rep", "tree", "component", "key", "n")), f"region{depth}", True)
-        crowded = below.where(F.col("n") > REGION)
-        tied = _tie(crowded.join(classes, "rep"), depth) if depth < DEPTH else _blocks(crowded)
-        # written level by level, so that no plan holds the others' joins
-        done = done.unionByName(common.materialize(small_regions(below).unionByName(tied), f"tied{depth}", True))
-    return done
-
-
-def _tie(crowded: DataFrame, depth: int) -> DataFrame:
-    """Tie every class of a crowded region to the region's leaders, in blocks of REGION - LEADERS classes.
-
-    Leaders have the least ids of the next label value that most of the region shares.
-    """
-    nxt = F.col("signature").substr((F.col("tree") * (4 * DEPTH) + 1 + 4 * depth).cast("int"), F.lit(4))
-    step = crowded.select("rep", "key", "n", nxt.alias("value"))
-    common_value = step.groupBy("key", "value").agg(F.count("*").alias("m"), F.min("rep").alias("first"), F.max("rep").alias("last"))
-    lead = common_value.groupBy("key").agg(F.max_by(F.struct("first", "last"), F.struct("m", "first")).alias("a"), F.min("first").alias("b"))
-    leaders = lead.select("key", F.explode(F.array_distinct(F.array("a.first", "a.last", "b"))).alias("leader"))
-    blocks = step.select("rep", "key", F.pmod(F.xxhash64("rep", F.lit(depth)), F.ceil(F.col("n") / (REGION - LEADERS))).alias("block"))
-    named = blocks.select(F.xxhash64("key", F.lit(depth), "block", F.lit("tie")).alias("region"), "rep", "key")
-    count = crowded.groupBy("key").agg(F.ceil(F.max("n") / (REGION - LEADERS)).alias("blocks"))
-    every = leaders.join(count, "key").select("key", "leader", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("block"))
-    return named.select("region", "rep").unionByName(every.select(F.xxhash64("key", F.lit(depth), "block", F.lit("tie")).alias("region"), F.col("leader").alias("rep"))).distinct().withColumn("tie", F.lit(True))
-
-
-def _blocks(crowded: DataFrame) -> DataFrame:
-    """Full-depth regions that are still crowded: blocks by hash, all tied to the region's least class."""
-    blocks = crowded.select("rep", "key", "n", F.pmod(F.xxhash64("rep"), F.ceil(F.col("n") / (REGION - 1))).alias("block"))
-    region = F.xxhash64("key", "block", F.lit("block"))
-    first = blocks.groupBy("key").agg(F.min("rep").alias("rep"), F.max("n").alias("n"))
-    ties = first.select("rep", "key", F.explode(F.sequence(F.lit(0).cast("bigint"), F.ceil(F.col("n") / (REGION - 1)) - 1)).alias("block"))
-    return blocks.select(region.alias("region"), "rep").unionByName(ties.select(region.alias("region"), "rep")).distinct().withColumn("tie", F.lit(True))
+def neighbours(ordered: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Distinct pairs (a, b) that may join families: for each run of a region in sorted order, a spanning forest of similar classes."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in (*batches, None):
+            rows = batch if held is None else held if batch is None else pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+            if rows is None or not rows.num_rows:
+                continue
+            region = [(t, x[: 4 * START]) for t, x in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True)]
+            edge = [0, *(k for k in range(1, len(region)) if region[k] != region[k - 1]), len(region)]
+            if batch is not None:  # the last region may go on
+                edge.pop()
+            held = rows.slice(edge[-1])
+            if batch is not None and held.num_rows > 4 * RUN:  # but its first runs are full
+                edge.append(edge[-1] + held.num_rows // RUN * RUN)
+                held = rows.slice(edge[-1] - 1)
+            rep, size = (rows.column(k).to_numpy() for k in (2, 3))
+            sig = np.frombuffer(b"".join(rows.column(4).to_pylist()), np.uint16).reshape(len(region), TREES * DEPTH)
+            left, right = [], []
+            for a, b in zip(edge[:-1], edge[1:], strict=True):
+                for start in range(a, b - 1, RUN):
+                    own = slice(start, min(b, start + RUN + 1))  # one class is in both of two runs
+                    i, j = _run_pairs(rep[own], size[own], sig[own], percent)
+                    left.append(rep[own][i])
+                    right.append(rep[own][j])
+            if left:
+                x, y = np.concatenate(left), np.concatenate(right)
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+
+    return ordered.mapInArrow(run, "a bigint, b bigint").distinct()
+
+
+def _run_pairs(rep: np.ndarray, size: np.ndarray, sig: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of the pairs of one run: a maximum spanning forest of all pairs of a small run, else of leader and neighbours."""
+    n = len(rep)
+    if n <= REGION:
+        i, j = np.triu_indices(n, 1)
+    else:
+        agree = (sig == np.sort(sig, axis=0)[n // 2]).sum(axis=1)
+        lead = int(np.lexsort((rep, -agree))[0])
+        others = np.delete(np.arange(n), lead)
+        steps = [np.arange(n - k) for k in range(1, NEIGHBOURS + 1)]
+        i, j = np.concatenate((np.full(n - 1, lead), *steps)), np.concatenate((others, *[s + k for k, s in enumerate(steps, 1)]))
+    fits = (100 * np.minimum(size[i], size[j]) >= percent * np.maximum(size[i], size[j])) & (rep[i] != rep[j])
+    i, j = i[fits], j[fits]
+    same = (sig[i] == sig[j]).mean(axis=1)
+    near = np.flatnonzero(same >= (percent - MARGIN) / 100)
+    picked = near[_forest(n, i[near], j[near], same[near])]
+    return i[picked], j[picked]
+
+
+def open_regions(classes: DataFrame) -> DataFrame:
+    """Members (region, rep, component, n) of the regions of all trees that hold several components of classes(rep, component, signature)."""
+    keys = _trees(classes, TREES, "rep", "component")
+    mixed = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key", "n")
+    return keys.join(mixed, "key").select(F.col("key").alias("region"), "rep", "component", "n")
+
+
+def rare_shingles(crowded: DataFrame, documents: DataFrame, percent: int) -> DataFrame:
+    """Members (region, rep, component, n) of the regions of rare shingles of crowded(rep, component), of several components each."""
+    spark = documents.sparkSession
+    texts = documents.select(F.col("doc_id").cast("bigint").alias("rep"), "text").join(crowded, "rep")
+    texts = common.materialize(texts.select("rep", "text", "component"), "crowded-texts", True)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            for part in common.text_slices(batch, 0, 2 << 20):
+                sets, _ = shingle_sets(common.as_bytes(part.column(0)))
+                total += np.bincount((sets & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["slot", "n"])
+
+    counted = texts.select("text").mapInArrow(count, "slot int, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()  # COUNTERS rows at most
+    often = np.zeros(COUNTERS, np.int64)
+    often[counted.column("slot").to_numpy()] = counted.column("n").to_numpy()
+    sent = spark.sparkContext.broadcast(often)
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often = sent.value
+        for batch in batches:
+            for part in common.text_slices(batch, 1, 2 << 20):
+                sets, sizes = shingle_sets(common.as_bytes(part.column(1)))
+                own = np.repeat(np.arange(len(sizes)), sizes)
+                order = np.lexsort((sets, often[(sets & np.uint64(COUNTERS - 1)).astype(np.int64)], own))
+                place = np.arange(len(sets)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                keep = place <= (sizes + (-sizes * percent) // 100)[own]
+                at = own[keep]
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(at)), part.column(2).take(pa.array(at)), pa.array(sets[order][keep].view(np.int64))], names=["rep", "component", "region"])
+
+    rows = common.materialize(texts.mapInArrow(first, "rep bigint, component bigint, region bigint"), "rare-shingles", True)
+    common.drop_table(texts)
+    mixed = rows.groupBy("region").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("region", "n")
+    return rows.join(mixed, "region").select("region", "rep", "component", "n")
+
+
+def blocks(crowded: DataFrame) -> DataFrame:
+    """Members (region, rep, component) of crowded regions in cells: a block of the classes outside the largest component with a block of all."""
+    sizes = crowded.groupBy("region", "component").agg(F.count("*").alias("m"), F.max("n").alias("n"))
+    main = sizes.groupBy("region").agg(F.max_by("component", "m").alias("main"), (F.max("n") - F.max("m")).alias("minor"))
+    rows = crowded.join(main, "region").withColumn("is_minor", F.expr("component <> main"))
+    few, many = (F.ceil(F.col(c) / REGION).cast("int") for c in ("minor", "n"))
+    every = lambda n: F.sequence(F.lit(0), n - 1)
+    mine = lambda n: F.pmod(F.xxhash64("rep"), n).cast("int")
+    as_minor = rows.where("is_minor").select("region", "rep", "component", mine(few).alias("i"), F.explode(every(many)).alias("j"))
+    as_other = rows.select("region", "rep", "component", mine(many).alias("j"), F.explode(every(few)).alias("i"))
+    both = as_minor.unionByName(as_other)
+    return both.select(F.xxhash64("region", "i", "j").alias("region"), "rep", "component").distinct()
 
 
 def _forest(n: int, left: np.ndarray, right: np.ndarray, weight: np.ndarray) -> list[int]:
@@ -210,45 +270,23 @@ def _forest(n: int, left: np.ndarray, right: np.ndarray, weight: np.ndarray) ->
     return out
 
 
-def _pairs_of(region: np.ndarray, rep: np.ndarray, group: np.ndarray, size: np.ndarray, sig: np.ndarray, regions: list[list[int]] | None, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Similar pairs inside each region of rows sorted by region, of different groups.
-
-    With each row's list of tree regions, every such pair, in the least of the regions that both are in, or in a
-    tie if there is none; else the edges of a maximum spanning forest of the region.
-    """
+def _pairs_of(region: np.ndarray, rep: np.ndarray, group: np.ndarray, size: np.ndarray, sig: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Similar pairs of different groups inside each region of rows sorted by region."""
     edge = np.flatnonzero(np.concatenate(([True], region[1:] != region[:-1], [True])))
-    left_all, right_all = [], []
+    left_all, right_all = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-        if b - a < 2:
-            continue
         i, j = np.triu_indices(b - a, 1)
-        apart = (rep[a + i] != rep[a + j]) & (group[a + i] != group[a + j])
-        apart &= 100 * np.minimum(size[a + i], size[a + j]) >= percent * np.maximum(size[a + i], size[a + j])
-        i, j = i[apart], j[apart]
-        if not len(i):
-            continue
-        same = (sig[a + i] == sig[a + j]).mean(axis=1)
-        near = np.flatnonzero(same >= (percent - MARGIN) / 100)
-        i, j, same = i[near], j[near], same[near]
-        if regions is not None:
-            own = [set(regions[k]) for k in range(a, b)]
-            least = [min(own[x] & own[y], default=region[a]) == region[a] for x, y in zip(i.tolist(), j.tolist(), strict=True)]
-            i, j = i[least], j[least]
-        elif len(i) > 1:
-            picked = _forest(b - a, i, j, same)
-            i, j = i[picked], j[picked]
-        left_all.append(rep[a + i])
-        right_all.append(rep[a + j])
-    if not left_all:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        apart = (group[a + i] != group[a + j]) & (100 * np.minimum(size[a + i], size[a + j]) >= percent * np.maximum(size[a + i], size[a + j]))
+        i, j = a + i[apart], a + j[apart]
+        near = (sig[i] == sig[j]).mean(axis=1) >= (percent - MARGIN) / 100
+        left_all.append(rep[i[near]])
+        right_all.append(rep[j[near]])
     left, right = np.concatenate(left_all), np.concatenate(right_all)
     return np.minimum(left, right), np.maximum(left, right)
 
 
 def candidates(members: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Distinct candidate pairs (a, b) of members(region, rep, component, size, short and, for all pairs, regions)."""
-    listed = "regions" in members.columns
-
+    """Distinct candidate pairs (a, b) of members(region, rep, component, size, short)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
         for batch in (*batches, None):
@@ -262,12 +300,11 @@ def candidates(members: DataFrame, percent: int = PERCENT) -> DataFrame:
                 part = rows.slice(0, end)
                 sig = np.frombuffer(b"".join(part.column(4).to_pylist()), np.uint16).reshape(end, TREES * DEPTH)
                 rep, group, size = (part.column(k).to_numpy() for k in (1, 2, 3))
-                a, b = _pairs_of(region[:end], rep, group, size, sig, part.column(5).to_pylist() if listed else None, percent)
+                a, b = _pairs_of(region[:end], rep, group, size, sig, percent)
                 if len(a):
                     yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
-    columns = ["region", "rep", "component", "size", "short", *(["regions"] if listed else [])]
-    found = members.select(*columns).repartition("region").sortWithinPartitions("region").mapInArrow(run, "a bigint, b bigint")
+    found = members.select("region", "rep", "component", "size", "short").repartition("region").sortWithinPartitions("region").mapInArrow(run, "a bigint, b bigint")
     return found.distinct()
 
 
@@ -304,41 +341,60 @@ def confirm(pairs: DataFrame, documents: DataFrame, percent: int = PERCENT) -> D
     return both.select("a", "b", "x", "y").mapInArrow(check, "a bigint, b bigint")
 
 
+def one_text(documents: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """doc_id and text with one row for each id (and all rows without one); and the ids that several rows have, with their number."""
+    narrow = documents.select("doc_id", "text")
+    again = narrow.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
+    if again.isEmpty():
+        return narrow, None
+    again = common.materialize(again, "repeated-ids", True)
+    ids = again.select("doc_id")
+    return narrow.join(ids, "doc_id", "left_anti").unionByName(narrow.join(ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))), again
+
+
+def links_of(classes: DataFrame, documents: DataFrame, percent: int) -> DataFrame:
+    """Components (rep, component) of the links of classes(rep, size, signature, short)."""
+    tried = common.materialize(neighbours(sorted_order(classes), percent), "tried", True)
+    links = common.materialize(confirm(tried, documents, percent), "links", True)
+    parts = common.materialize(common.components(links, "a", "b"), "parts", True).select(F.col("node").alias("rep"), "component")
+    known = classes.join(parts, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    members = common.materialize(open_regions(known), "open-regions", True)
+    crowded = members.where(F.col("n") > REGION).select("rep", "component").distinct()
+    members = members.where(F.col("n") <= REGION).select("region", "rep", "component")
+    if not crowded.isEmpty():
+        rare = common.materialize(rare_shingles(crowded, documents, percent), "rare-regions", True)
+        members = members.unionByName(rare.where(F.col("n") <= REGION).select("region", "rep", "component")).unionByName(blocks(rare.where(F.col("n") > REGION)))
+    members = members.join(classes.select("rep", "size", "short"), "rep")
+    more = common.materialize(candidates(members, percent).join(tried, ["a", "b"], "left_anti"), "more", True)
+    if more.isEmpty():
+        return parts
+    found = common.materialize(confirm(more, documents, percent), "found", True)
+    return parts if found.isEmpty() else common.components(links.unionByName(found), "a", "b").select(F.col("node").alias("rep"), "component")
+
+
 def group(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id and kept; links of at least percent similarity."""
-    made = common.materialize(sketch(documents), "sketch", True)
+    kind = documents.schema["doc_id"].dataType.simpleString()
+    texts, again = one_text(documents)
+    made = common.materialize(sketch(texts), "sketch", True)
     ids = made.select(F.col("doc_id").cast("bigint").alias("doc_id"), "n_shingles", "set_hash")
     reps = common.materialize(ids.where("set_hash is not null and doc_id is not null").groupBy("set_hash").agg(F.min("doc_id").alias("rep")), "classes", True)
-    classes = made.select(F.col("doc_id").cast("bigint").alias("rep"), F.col("n_shingles").alias("size"), "signature").where("signature is not null").join(reps.select("rep").distinct(), "rep", "left_semi").dropDuplicates(["rep"])
-    classes = common.materialize(classes, "labels", True)
-    met, near = first_regions(classes)
+    signed = made.select(F.col("doc_id").cast("bigint").alias("rep"), F.col("n_shingles").alias("size"), "signature").where("signature is not null")
 
     def shorten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([np.frombuffer(x, np.uint32).astype(np.uint16).tobytes() for x in batch.column(2).to_pylist()], pa.binary())], names=["rep", "size", "short"])
+            short = [np.frombuffer(x, np.uint32).astype(np.uint16).tobytes() for x in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(short, pa.binary())], names=["rep", "size", "signature", "short"])
 
-    shorts = common.materialize(near.select("rep", "size", "signature").mapInArrow(shorten, "rep bigint, size bigint, short binary"), "shorts", True)
-    first = common.materialize(small_regions(met).unionByName(_tie(met.where(F.col("n") > REGION).join(near, "rep"), START)), "first-regions", True)
-    tried = common.materialize(candidates(first.join(shorts, "rep").withColumn("component", F.col("rep")), percent), "tried", True)
-    links = common.materialize(confirm(tried, documents, percent), "links", True)
-    parts = common.materialize(common.components(links, "a", "b"), "parts", True).select(F.col("node").alias("rep"), "component")
-    # the families are joined; now every similar pair of different components, in small, tied and deeper regions
-    every = first.unionByName(deeper_regions(met, near, parts)).join(parts, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    open_regions = every.groupBy("region").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("region")
-    again = common.materialize(every.join(open_regions, "region", "left_semi").distinct(), "open-regions", True)
-    listed = again.where("not tie").groupBy("rep").agg(F.collect_set("region").alias("regions"))  # one for each tree at most
-    members = again.join(shorts, "rep").join(listed, "rep", "left").withColumn("regions", F.coalesce("regions", F.array().cast("array<bigint>")))
-    more = common.materialize(candidates(members, percent).join(tried, ["a", "b"], "left_anti"), "more", True)
-    if not more.isEmpty():
-        found = common.materialize(confirm(more, documents, percent), "found", True)
-        if not found.isEmpty():
-            parts = common.components(links.unionByName(found), "a", "b").select(F.col("node").alias("rep"), "component")
+    classes = signed.join(reps.select("rep"), "rep", "left_semi").mapInArrow(shorten, "rep bigint, size bigint, signature binary, short binary")
+    parts = links_of(common.materialize(classes, "signatures", True), texts, percent)
     named = reps.join(parts, "rep", "left").select("set_hash", F.coalesce("component", "rep").alias("__component"))
-    out = ids.join(named, "set_hash", "left")
     component = F.coalesce("__component", "doc_id")
-    kind = documents.schema["doc_id"].dataType.simpleString()
-    return out.select(F.col("doc_id").cast(kind).alias("doc_id"), "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id"),
-                      (F.col("doc_id").isNull() | (F.col("doc_id") == component)).alias("kept"))
+    out = ids.join(named, "set_hash", "left").select(F.col("doc_id").cast(kind).alias("doc_id"), "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id"),
+                                                     (F.col("doc_id").isNull() | (F.col("doc_id") == component)).alias("kept"))
+    if again is None:
+        return out
+    return out.join(again, "doc_id", "left").select(*out.columns, F.explode(F.sequence(F.lit(1).cast("bigint"), F.coalesce("n", F.lit(1)))).alias("__row")).drop("__row")
 
 
 def keep_first(documents: DataFrame, percent: int = KEEP_PERCENT) -> DataFrame:

@@ -49,6 +49,13 @@ def test_near_groups_against_brute_force(spark):
     texts = [prose(r, r.randrange(0, 120), 3000) for _ in range(60)]
     # a crowded family, some of whose members link only through others; smaller ones; copies; short texts
     texts += family(r, 120, 150, 4) + family(r, 10, 60, 1) + family(r, 6, 400, 8) + [texts[3]] * 3 + ["one two", "One  two", "one", "", "   "]
+    # a crowded family under the limit: each member has a fifth of its words for itself, some share them with one other
+    base = prose(r, 200, 10**6).split()
+    for k in range(90):
+        own = [f"own{k}x{i}" for i in range(30)]
+        texts.append(" ".join(base + own))
+        if k % 6 == 0:
+            texts.append(" ".join(base + own[:-3] + [f"other{k}"]))
     r.shuffle(texts)
     rows = list(enumerate(texts, 100))
     got = {x["doc_id"]: x for x in near_dedup.group(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}

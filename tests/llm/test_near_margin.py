@@ -15,5 +15,5 @@ def test_margin_keeps_pairs_at_the_limit(percent):
     sig = np.zeros((2, n), np.uint16)
     sig[1, agree:] = 1
     ids, one = np.array([1, 2]), np.array([100, 100])
-    a, b = near_dedup._pairs_of(np.array([5, 5]), ids, ids, one, sig, None, percent)
+    a, b = near_dedup._pairs_of(np.array([5, 5]), ids, ids, one, sig, percent)
     assert (a.tolist(), b.tolist()) == ([1], [2])
