@@ -14,14 +14,17 @@ are copies of one article keeps it.
 
 Importance cannot judge what is noise on the first sight of a host, so elements whose tag, role or class says menu,
 header, footer, sidebar, notice, advert, form or comment are removed by name, and if a page has an article (or
-main) only its articles are text.
+main) only its articles are text. Outside articles one such word in a class or id is enough. Inside an article a
+whole class name has to say it ("share-buttons", but not "share-price"); of the rest, importance decides.
 
 Counts are two pre-aggregated sums over narrow hashes; the pages themselves are not shuffled while the
-model of low branches is at most SMALL_MODEL entries (then it is broadcast). A larger model meets salted hosts in a join.
+model of low branches is at most SMALL_MODEL entries (then it is broadcast, once a task). A larger model meets salted
+hosts in a join.
 
 Null or empty html gives an empty text. A null url counts as a host of its own name. Repeated page_ids are
-pages of their own. Comments, doctypes and text in scripts and styles are never text. Unclosed elements end with
-their parents; stray end tags are skipped; element nesting beyond MAX_DEPTH is flattened.
+pages of their own. Comments, doctypes and text in scripts and styles are never text, nor what stands in for an
+embedded object or for scripts (object, noscript). Unclosed elements end with their parents; stray end tags are
+skipped; nesting may be of any depth.
 """
 
 from __future__ import annotations
@@ -30,6 +33,7 @@ import html as entities
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -40,13 +44,12 @@ from . import common
 CONTENT = 0.2
 PRESENTATION = 0.3
 MIN_PAGES = 4
-MAX_DEPTH = 200
 SMALL_MODEL = 1_000_000
 SALTS = 16
 
 # The elements of HTML by kind.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe textarea title svg math object audio video canvas xmp noframes".split())
+RAW = frozenset("script style noscript template iframe textarea title svg object audio video canvas xmp noframes".split())
 BLOCK = frozenset(
     "html body head address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hgroup hr legend li main menu nav ol p pre search section summary table caption tbody thead tfoot tr td th ul option select button".split())
@@ -62,6 +65,10 @@ NOISE_WORDS = frozenset(
     "share sharing social related recommended popup modal overlay toolbar pagination pager".split())
 #: An article of one of these is no article of the page.
 ARTICLE_NOISE = frozenset("comment comments reply replies ad advert advertisement sponsored promo".split())
+# Words that say nothing by themselves beside a noise word of a class name.
+FILLER_WORDS = frozenset(
+    "area bar block bottom box btn button buttons col column container content count cta element entry field fixed footer form global group header icon icons inner item items left "
+    "link links list main media message module page panel plugin post posts reader right row section site slot small sticky text thread title top unit user users widget wrap wrapper".split())
 #: These name noise only outside an article.
 OUTER_WORDS = frozenset("header footer masthead topbar copyright".split())
 ROOTS = frozenset(("article", "main"))
@@ -70,16 +77,18 @@ _TOKEN = re.compile(r"""<!--(?:.*?-->|.*)|<(/?)([A-Za-z][^\s/>]*+)((?:[^>"']++|"
 _RAW_END = {tag: re.compile(f"</{tag}(?=[\\s/>])[^>]*+>?", re.I) for tag in RAW}
 _ATTRIBUTE = re.compile(r"""(?:^|[\s/"'])(class|id|role)\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++))""", re.I)
 _WORDS = re.compile(r"[A-Za-z]+")
+_CASE = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _SEED = 0x5EED
 
 
 class Node:
-    """An element: its style path, children, and text blocks (ranges of the page's block list)."""
+    """An element: its style path, the block it stands in (or is), and its children and block texts in page order."""
 
-    __slots__ = ("children", "noise", "parent", "path", "root", "tag")
+    __slots__ = ("block", "children", "noise", "parent", "path", "root", "tag")
 
     def __init__(self, tag: str, path: int, parent: Node | None, noise: bool, root: bool):
         self.tag, self.path, self.parent, self.noise, self.root = tag, path, parent, noise, root
+        self.block: Node = self if parent is None or tag in BLOCK else parent.block
         self.children: list[Node | str] = []
 
 
@@ -90,22 +99,29 @@ def _hash(text: str, seed: int = _SEED) -> int:
 def parse(html: str) -> Node:
     """The element tree of a page; children are elements and finished block texts in page order."""
     top = current = Node("#page", 0, None, False, False)
-    depth, at, buffer = 0, 0, []
+    at, buffer = 0, []
+    opened: dict[str, int] = {}
 
     def flush() -> None:
         text = " ".join("".join(buffer).split())
         buffer.clear()
         if text:
-            holder = current
-            while holder.parent is not None and holder.tag not in BLOCK:
-                holder = holder.parent
-            holder.children.append(text)
+            current.block.children.append(text)
+
+    def leave(holder: Node) -> None:
+        """Close elements up to and with the holder."""
+        nonlocal current
+        stop = holder.parent
+        while current is not stop:
+            opened[current.tag] -= 1
+            current = current.parent
 
     end = len(html)
     while at < end:
         found = _TOKEN.search(html, at)
         stop = found.start() if found else end
-        if stop > at and not (current.noise and _inline_noise(current)):
+        # an inline element is noise by itself, inside a block that is not
+        if stop > at and (current.block.noise or not current.noise):
             buffer.append(entities.unescape(html[at:stop]))
         if found is None:
             break
@@ -114,15 +130,13 @@ def parse(html: str) -> Node:
             continue
         tag = found[2].lower()
         if found[1]:
-            holder = current
-            while holder is not top and holder.tag != tag:
-                holder = holder.parent
-            if holder is not top:
+            if opened.get(tag):
+                holder = current
+                while holder.tag != tag:
+                    holder = holder.parent
                 if tag in BLOCK or any(n.tag in BLOCK for n in _between(current, holder)):
                     flush()
-                while current is not holder:
-                    current, depth = current.parent, depth - 1
-                current, depth = holder.parent, depth - 1
+                leave(holder)
             elif tag == "p":
                 flush()
             continue
@@ -139,36 +153,22 @@ def parse(html: str) -> Node:
             continue
         if tag in BLOCK:
             flush()
-            holder = current
-            while holder is not top and holder.tag not in BLOCK:
-                holder = holder.parent
-            if holder.tag == "p":  # a block ends an open paragraph
-                while current is not holder.parent:
-                    current, depth = current.parent, depth - 1
-            if tag in CLOSES:
+            if current.block.tag == "p":  # a block ends an open paragraph
+                leave(current.block)
+            if any(opened.get(t) for t in CLOSES.get(tag, ())):
                 holder, last = current, None
                 while holder is not top and holder.tag not in SCOPE[tag]:
                     if holder.tag in CLOSES[tag]:
                         last = holder
                     holder = holder.parent
                 if last is not None:
-                    while current is not last.parent:
-                        current, depth = current.parent, depth - 1
-        if depth >= MAX_DEPTH:
-            continue
+                    leave(last)
         current = _element(tag, found[3], current)
-        depth += 1
+        opened[tag] = opened.get(tag, 0) + 1
     flush()
     return top
 
 
-def _inline_noise(node: Node) -> bool:
-    """An inline element is noise by itself, inside a block that is not."""
-    while node.parent is not None and node.tag not in BLOCK:
-        node = node.parent
-    return not node.noise
-
-
 def _between(low: Node, high: Node) -> Iterator[Node]:
     while low is not high:
         yield low
@@ -176,7 +176,7 @@ def _between(low: Node, high: Node) -> Iterator[Node]:
 
 
 def _element(tag: str, attributes: str, parent: Node) -> Node:
-    words: list[str] = []
+    names: list[list[str]] = []
     role = ""
     if attributes and not attributes.isspace():
         for m in _ATTRIBUTE.finditer(attributes):
@@ -184,20 +184,28 @@ def _element(tag: str, attributes: str, parent: Node) -> Node:
             if m[1].lower() == "role":
                 role = value.strip().lower()
             else:
-                words += _WORDS.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", " ", value))
-    style = f"{tag} {' '.join(sorted({w.lower() for w in words}))}"
+                names += [[w.lower() for w in _WORDS.findall(_CASE.sub(" ", name))] for name in value.split()]
+    words = {w for name in names for w in name}
+    style = f"{tag} {' '.join(sorted(words))}"
     inside = parent.root or tag in ROOTS or role == "main"
-    named = {w.lower() for w in words}
     noise = parent.noise or tag in NOISE_TAGS or role in NOISE_ROLES
-    if tag not in ("html", "body", "main"):
-        noise = noise or bool(named & (ARTICLE_NOISE if tag == "article" else NOISE_WORDS))
+    if tag == "article":
+        noise = noise or not words.isdisjoint(ARTICLE_NOISE)
+    elif tag not in ("html", "body", "main"):
+        noise = noise or (any(map(_says_noise, names)) if parent.root else not words.isdisjoint(NOISE_WORDS))
     if not inside:
-        noise = noise or tag == "header" or bool(named & OUTER_WORDS and tag not in ("html", "body"))
-    node = Node(tag, parent.path if tag not in BLOCK else _hash(f"{parent.path} {style}"), parent, noise, inside and not noise)
+        noise = noise or tag == "header" or (tag not in ("html", "body") and not words.isdisjoint(OUTER_WORDS))
+    path = _hash(f"{parent.path} {style}") if tag in BLOCK else parent.path
+    node = Node(tag, path, parent, noise, inside and not noise)
     parent.children.append(node)
     return node
 
 
+def _says_noise(name: list[str]) -> bool:
+    """A class name of noise words and fillers only."""
+    return any(w in NOISE_WORDS for w in name) and all(w in NOISE_WORDS or w in FILLER_WORDS for w in name)
+
+
 def features(top: Node) -> set[tuple[int, int, bool]]:
     """What a page adds to its host's style tree: (path, feature, of content), each once; feature 0 counts the page."""
     out: set[tuple[int, int, bool]] = set()
@@ -239,44 +247,63 @@ def style_counts(pages: DataFrame) -> DataFrame:
 
 
 def low_branches(pages: DataFrame) -> DataFrame:
-    """Per host the style paths of low importance: host, low_content and low_presentation (arrays of paths)."""
+    """The style paths of low importance: host, path, content (else of presentation)."""
     k = F.col("k").cast("double")
     is_page = F.col("feature") == 0
     node = style_counts(pages).groupBy("host", "path", "content").agg(
-        F.sum(F.when(is_page, F.col("k"))).alias("m"), F.sum(F.when(~is_page, F.log(k))).alias("logs"), F.count(F.when(~is_page, 1)).alias("n"),
-        F.sum(F.when(~is_page, k)).alias("shown"), F.sum(F.when(~is_page, k * F.log(k))).alias("klogk"))
+        F.sum(F.when(is_page, F.col("k"))).alias("m"), F.sum(F.when(~is_page, F.log(k))).alias("logs"),
+        F.count(F.when(~is_page, 1)).alias("n"), F.sum(F.when(~is_page, k)).alias("shown"),
+        F.sum(F.when(~is_page, k * F.log(k))).alias("klogk"))
     node = node.where(F.col("m") >= MIN_PAGES).withColumn("base", F.log(F.col("m").cast("double")))
     content = 1 - F.col("logs") / F.col("n") / F.col("base")
     presentation = (F.log("shown") - F.col("klogk") / F.col("shown")) / F.col("base")
-    low = node.where(F.when(F.col("content"), content < CONTENT).otherwise(presentation < PRESENTATION))
-    return low.groupBy("host").agg(F.collect_list(F.when(F.col("content"), F.col("path"))).alias("low_content"), F.collect_list(F.when(~F.col("content"), F.col("path"))).alias("low_presentation"))
+    low = F.when(F.col("content"), content < CONTENT).otherwise(presentation < PRESENTATION)
+    return node.where(low).select("host", "path", "content")
 
 
-def _texts(node: Node, low: set[int], flat: set[int], out: list[str], guard: bool) -> None:
-    """The block texts that stay; guard: low branches stay too."""
-    if node.noise or (not guard and _is_low(node, low, flat)):
-        return
-    for child in node.children:
-        if isinstance(child, str):
-            if guard or node.path not in low:
-                out.append(child)
-        else:
-            _texts(child, low, flat, out, guard)
+def _low(top: Node, low: set[int], flat: set[int]) -> set[Node]:
+    """Branches to remove: of low presentation, and all they hold is of low content, noise or such a branch."""
+    order = [top]
+    for node in order:
+        order += [c for c in node.children if not isinstance(c, str)]
+    found: set[Node] = set()
+    for node in reversed(order):
+        if node.path in flat and all(node.path in low if isinstance(c, str) else c.noise or c in found for c in node.children):
+            found.add(node)
+    return found
 
 
-def _is_low(node: Node, low: set[int], flat: set[int]) -> bool:
-    if node.path not in flat:
-        return False
-    return all(node.path in low if isinstance(c, str) else c.noise or _is_low(c, low, flat) for c in node.children)
+def _texts(start: Node, removed: set[Node], low: set[int]) -> list[str]:
+    """The block texts under an element in page order, without noise, removed branches and texts of low content."""
+    out: list[str] = []
+    stack: list[Iterator] = [iter(start.children if not start.noise else ())]
+    holders = [start]
+    while stack:
+        child = next(stack[-1], None)
+        if child is None:
+            stack.pop()
+            holders.pop()
+        elif isinstance(child, str):
+            if holders[-1].path not in low:
+                out.append(child)
+        elif not child.noise and child not in removed:
+            stack.append(iter(child.children))
+            holders.append(child)
+    return out
 
 
-def _roots(node: Node) -> list[Node]:
-    """The outermost articles or mains that are not noise."""
-    if node.noise:
-        return []
-    if node.tag in ROOTS or (node.root and not (node.parent and node.parent.root)):
-        return [node]
-    return [r for c in node.children if not isinstance(c, str) for r in _roots(c)]
+def _roots(top: Node) -> list[Node]:
+    """The outermost articles or mains that are not noise, in page order."""
+    found, stack = [], [top]
+    while stack:
+        node = stack.pop()
+        if node.noise:
+            continue
+        if node.tag in ROOTS or (node.root and not (node.parent and node.parent.root)):
+            found.append(node)
+        else:
+            stack += [c for c in reversed(node.children) if not isinstance(c, str)]
+    return found
 
 
 def main_text(html: str | None, low_content: set[int] = frozenset(), low_presentation: set[int] = frozenset()) -> str:
@@ -285,46 +312,70 @@ def main_text(html: str | None, low_content: set[int] = frozenset(), low_present
         return ""
     top = parse(html)
     roots = _roots(top)
+    removed = _low(top, low_content, low_presentation) if low_presentation else set()
     out: list[str] = []
-    for root in roots:
-        own: list[str] = []
-        for child in root.children:
-            if isinstance(child, str):
-                if root.path not in low_content:
-                    own.append(child)
-            else:
-                _texts(child, low_content, low_presentation, own, False)
-        if not own:
-            _texts(root, low_content, low_presentation, own, True)
-        out += own
-    if not roots:
-        _texts(top, low_content, low_presentation, out, False)
-        if not out:
-            _texts(top, low_content, low_presentation, out, True)
+    for root in roots or [top]:
+        # an article of low importance is still the article; a page without one may be low as a whole
+        kept = [] if not roots and root in removed else _texts(root, removed, low_content)
+        out += kept or (_texts(root, set(), set()) if roots else [])
+    if not roots and not out:
+        out = _texts(top, set(), set())
     return " ".join(out)
 
 
+def _sets(paths, content) -> tuple[set[int], set[int]]:
+    """Low paths of a host: of content, of presentation."""
+    each = list(zip(np.asarray(paths, np.int64).tolist(), content, strict=True))
+    return {p for p, c in each if c}, {p for p, c in each if not c}
+
+
 def extract(pages: DataFrame) -> DataFrame:
     """Per page: page_id, url, text and n_chars."""
+    spark = pages.sparkSession
     kind = pages.schema["page_id"].dataType.simpleString()
     model = common.materialize(low_branches(pages), "style-trees")
-    entries = model.agg(F.coalesce(F.sum(F.size("low_content") + F.size("low_presentation")), F.lit(0)).alias("n")).first()["n"]
+    small = model.count() <= SMALL_MODEL
+    sent = spark.sparkContext.broadcast(_by_host(model) if small else None)
     rows = pages.select("page_id", "url", "html", _host("url").alias("__host"))
-    keyed = model.select(F.col("host").alias("__host"), "low_content", "low_presentation")
-    named = _hosts(rows, keyed, entries <= SMALL_MODEL)
+    if not small:
+        rows = _joined(rows, model)
+    names = ["page_id", "url", "text", "n_chars"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        models: dict[int, tuple[set[int], set[int]]] = {}
         for batch in batches:
             for part in common.text_slices(batch, 2):
-                models: dict[int, tuple[set[int], set[int]]] = {}
+                if not small:
+                    models.clear()
                 texts = []
-                for html, host, content, presentation in zip(*(part.column(i).to_pylist() for i in range(2, 4)), part.column(4), part.column(5), strict=True):
+                for i, (html, host) in enumerate(zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)):
                     if host not in models:
-                        models[host] = set(content.as_py() or ()), set(presentation.as_py() or ())
+                        low = sent.value.get(host, ((), ())) if small else (part.column(4)[i].as_py() or (), part.column(5)[i].as_py() or ())
+                        models[host] = _sets(*low)
                     texts.append(main_text(html, *models[host]))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
+                sizes = pa.array([len(t) for t in texts], pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), sizes], names=names)
+
+    return rows.mapInArrow(run, f"page_id {kind}, url string, text string, n_chars bigint")
 
-    return named.select("page_id", "url", "html", "__host", "low_content", "low_presentation").mapInArrow(run, f"page_id {kind}, url string, text string, n_chars bigint")
+
+def _by_host(model: DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """A small model as (paths, content) by host."""
+    found = model.toArrow()
+    host, path, content = (found.column(c).to_numpy() for c in ("host", "path", "content"))
+    order = np.argsort(host, kind="stable")
+    keys, starts = np.unique(host[order], return_index=True)
+    parts = zip(np.split(path[order], starts[1:]), np.split(content[order], starts[1:]), strict=True)
+    return dict(zip(keys.tolist(), parts, strict=True)) if len(keys) else {}
+
+
+def _joined(rows: DataFrame, model: DataFrame) -> DataFrame:
+    """Pages with their host's low paths and kinds as arrays; hosts are salted."""
+    each = model.groupBy("host").agg(F.collect_list(F.struct("path", "content")).alias("low"))
+    salted = each.select(F.col("host").alias("__host"), F.col("low.path").alias("__paths"), F.col("low.content").alias("__content"),
+                         F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("__salt"))
+    dealt = rows.withColumn("__salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
+    return dealt.join(salted, ["__host", "__salt"], "left").select("page_id", "url", "html", "__host", "__paths", "__content")
 
 
 def _host(url: str) -> Column:
@@ -333,13 +384,5 @@ def _host(url: str) -> Column:
     return F.xxhash64(F.lower(F.regexp_extract(rest, r"^[^/?#]*", 0)))
 
 
-def _hosts(rows: DataFrame, model: DataFrame, small: bool) -> DataFrame:
-    if small:
-        return rows.join(F.broadcast(model), "__host", "left")
-    salted = model.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    dealt = rows.withColumn("__salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
-    return dealt.join(salted, ["__host", "__salt"], "left")
-
-
 def query(spark, sf_dir: str) -> DataFrame:
     return extract(common.table(spark, sf_dir, "pages"))
