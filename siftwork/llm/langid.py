@@ -11,8 +11,9 @@ of all languages are therefore compiled into one hash table for each order: a co
 has seen with this byte gives the full code length for every language; else each language pays its escape
 (nothing where it has not met the context) and the next shorter context is asked.
 
-Learning takes at most SAMPLE_BYTES of text for each language, documents in the order of a hash of their id.
-Rows of null text or language are not learned from. A null text, or one without letters, is `und` with
+Learning takes whole texts of each language until they are SAMPLE_BYTES: those of at most SAMPLE_BYTES first, in the
+order of a hash of their id, and a longer one only if these do not suffice, so the sample is bounded by SAMPLE_BYTES
+and one text. Rows of null text or language are not learned from. A null text, or one without letters, is `und` with
 score 0. The score is the winner's posterior under equal priors, with code lengths per byte scaled to at
 most CONFIDENT bytes, so that it does not saturate at once.
 """
@@ -114,8 +115,6 @@ class Model:
             self.codes.append(code)
             self.escapes.append(escape)
             shorter = list(zip(self.tables, self.codes, self.context_tables, self.escapes, strict=True))
-        self.codes = [c.astype(np.float32) for c in self.codes]
-        self.escapes = [e.astype(np.float32) for e in self.escapes]
 
     @staticmethod
     def _code(levels: list[tuple], keys: np.ndarray, k: int) -> np.ndarray:
@@ -155,25 +154,25 @@ class Model:
 
 
 def sample(documents: DataFrame, limit: int = SAMPLE_BYTES) -> dict[str, list[bytes]]:
-    """Bounded training texts for each language: rows in the order of a hash until `limit` bytes are met.
+    """Bounded training texts for each language: whole rows, no longer than the limit first, then in the order of a
+    hash, until `limit` bytes are met.
 
     A whole language is never gathered: rows are first thinned by hash to a few times the limit, from
-    byte totals counted over all rows; only then is the running total taken. A text longer than the limit
-    gives its first `limit` bytes.
+    byte totals counted over all rows; only then is the running total taken.
     """
     rows = documents.where("text is not null and lang is not null and length(text) > 0").select(
-        F.col("lang"), F.col("text"), F.xxhash64(F.col("doc_id").cast("string")).alias("h"), F.least(F.octet_length("text"), F.lit(limit)).alias("n"))
+        "lang", "text", F.xxhash64(F.col("doc_id").cast("string")).alias("h"), F.least(F.octet_length("text"), F.lit(limit)).alias("n"), (F.octet_length("text") > limit).alias("long"))
     totals = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     if not totals:
         return {}
     part = 1 << 20
     share = F.create_map(*[F.lit(x) for lang, n in totals.items() for x in (lang, min(part, int(part * 4 * limit / max(n, 1)) + part // 1000))])
     thin = rows.where(F.pmod(F.col("h"), F.lit(part)) < share[F.col("lang")])
-    running = F.sum("n").over(Window.partitionBy("lang").orderBy("h", "n").rowsBetween(Window.unboundedPreceding, -1))
-    kept = thin.withColumn("before", F.coalesce(running, F.lit(0))).where(F.col("before") < limit).select("lang", F.substring("text", 1, limit).alias("text"))
+    running = F.sum("n").over(Window.partitionBy("lang").orderBy("long", "h", "n").rowsBetween(Window.unboundedPreceding, -1))
+    kept = thin.withColumn("before", F.coalesce(running, F.lit(0))).where(F.col("before") < limit).select("lang", "text")
     out: dict[str, list[bytes]] = {x: [] for x in totals}
     for r in kept.toLocalIterator():
-        out[r["lang"]].append(r["text"].lower().encode()[:limit])
+        out[r["lang"]].append(r["text"].lower().encode())
     return {k: v for k, v in out.items() if v}
 
 

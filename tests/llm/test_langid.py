@@ -42,7 +42,15 @@ def test_exact_code_lengths():
     texts = [b"the chat", "à la".encode(), b"zzz", b"", b"the cat sat on the mat" * 3]
     got = model.code_lengths(texts)
     for j, lang in enumerate(sorted(samples)):
-        assert got[:, j] == pytest.approx([brute_bits(samples[lang], t, langid.ORDER) for t in texts], rel=1e-4)
+        assert got[:, j] == pytest.approx([brute_bits(samples[lang], t, langid.ORDER) for t in texts], rel=1e-12)
+
+
+def test_samples_are_whole_texts(spark):
+    rows = [(k, "a", f"{k} " + "x" * 50) for k in range(30)] + [(50, "a", "y" * 900), (60, "b", "z" * 900), (61, "b", "z" * 2000)]
+    got = langid.sample(spark.createDataFrame(rows, "doc_id bigint, lang string, text string"), 200)
+    whole = {text.encode() for _, _, text in rows}
+    assert all(t in whole for own in got.values() for t in own)
+    assert 200 <= sum(map(len, got["a"])) < 200 + 60 and len(got["b"]) == 1
 
 
 def test_held_out_accuracy(spark):
