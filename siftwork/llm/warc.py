@@ -23,18 +23,23 @@ import zlib
 from bisect import bisect_left
 from collections import OrderedDict
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import common
 
 MIN_REVISIT = 1000
 FILE_BYTES = 512 << 20
 BLOCK_LINES = 2048
+READ_ROWS = 512
+#: Parts that the rows of one payload are dealt to.
+SALTS = 64
 DATE = "1970-01-01T00:00:00Z"
 
 
@@ -46,15 +51,31 @@ def url_key(url: str) -> Column:
     return F.when(u == "", "").otherwise(F.concat(F.array_join(F.reverse(F.split(host, r"\.")), ","), F.lit(")"), F.regexp_replace(rest, r"^[^/?#]*", "")))
 
 
-def decided(pages: DataFrame) -> DataFrame:
-    """The pages with payload digest, record type's refers_to (null: response) and URL key."""
-    payload = F.coalesce(F.encode("html", "UTF-8"), F.lit(b""))
-    narrow = pages.select("page_id", F.octet_length(F.coalesce("html", F.lit(""))).alias("n"), F.sha1(payload).alias("digest")).where(F.col("n") >= MIN_REVISIT)
-    narrow = common.materialize(narrow, "payloads")
-    groups = narrow.groupBy("digest", "n").agg(F.max("page_id").alias("first"), F.count("*").alias("k")).where("k > 1").select("digest", "n", "first")
-    revisits = narrow.join(groups, ["digest", "n"]).where("page_id <> first").select(F.col("page_id").alias("__id"), "digest", F.col("first").alias("refers_to"))
+def _payload() -> Column:
+    return F.coalesce(F.encode("html", "UTF-8"), F.lit(b""))
+
+
+def payloads(pages: DataFrame) -> DataFrame:
+    """The digests of payloads that may be revisits, as a written table; part deals the rows of one payload."""
+    n = F.octet_length(F.coalesce("html", F.lit("")))
+    part = F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int").alias("part")
+    rows = pages.select("page_id", n.alias("n"), F.sha1(_payload()).alias("digest"), part)
+    return common.materialize(rows.where(F.col("n") >= MIN_REVISIT), "payloads")
+
+
+def decided(pages: DataFrame, narrow: DataFrame | None = None) -> DataFrame:
+    """The pages with record type's refers_to (null: response) and URL key; narrow: their payloads().
+
+    Copies meet their response by payload and part, so that no task gets all copies of a payload.
+    """
+    narrow = payloads(pages) if narrow is None else narrow
+    parts = narrow.groupBy("digest", "n", "part").agg(F.max("page_id").alias("first"), F.count("*").alias("k"))
+    whole = Window.partitionBy("digest", "n")
+    groups = parts.select("digest", "n", "part", F.max("first").over(whole).alias("first"), F.sum("k").over(whole).alias("k"))
+    revisits = narrow.join(groups.where("k > 1").drop("k"), ["digest", "n", "part"]).where("page_id <> first").select(
+        F.col("page_id").alias("__id"), "digest", F.col("first").alias("refers_to"))
     # an id may stand for rows of different payloads; the digest decides
-    rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), F.sha1(payload).alias("__digest"), url_key("url").alias("key"))
+    rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), F.sha1(_payload()).alias("__digest"), url_key("url").alias("key"))
     joined = rows.join(revisits.distinct(), (F.col("page_id") == F.col("__id")) & (F.col("__digest") == F.col("digest")), "left")
     return joined.select("page_id", "url", "html", "key", "refers_to")
 
@@ -289,8 +310,11 @@ def read_back(heads: DataFrame, index: str, archive: str, ranges: DataFrame) ->
         types = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64()]
         try:
             for batch in batches:
-                rows = [found.read(p) for head in batch.column(0).to_pylist() for p in found.captures(head)]
-                yield pa.RecordBatch.from_arrays([pa.array([r[f] for r in rows], t) for f, t in zip(fields, types, strict=True)], names=fields)
+                places = (p for head in batch.column(0).to_pylist() for p in found.captures(head))
+                # one payload is held at a time: what stays of a record are its narrow fields
+                while rows := [tuple(map(found.read(p).get, fields)) for p in islice(places, READ_ROWS)]:
+                    columns = zip(zip(*rows, strict=True), types, strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in columns], names=fields)
         finally:
             found.close()
 
@@ -302,8 +326,11 @@ def archive(pages: DataFrame) -> DataFrame:
     """Write all pages, index them, and read every record back through the index."""
     spark = pages.sparkSession
     base = common.work_path(spark, "warc")
-    captures = write_archive(decided(pages), f"{base}/records")
+    narrow = payloads(pages)
+    captures = write_archive(decided(pages, narrow), f"{base}/records")
+    common.drop_table(narrow)
     ranges = write_index(captures, f"{base}/index")
+    common.drop_table(captures)
     heads = pages.select(url_key("url").alias("key"), "page_id").distinct().select(line_head("key", "page_id").alias("head"))
     return read_back(heads, f"{base}/index", f"{base}/records", ranges)
 
