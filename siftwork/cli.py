@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import argparse
+import sys
 
-from pyspark.sql import SparkSession
+from pyspark.sql import Observation, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import relevance
@@ -37,20 +38,25 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
     if unknown:
         raise SystemExit(f"unknown sectors: {', '.join(unknown)}")
     every = spark.read.parquet(args.resources)
-    frames, areas = [], []
+    frames, areas = [], {}
     for k, name in enumerate(args.site):
         site = config.site(name, args.config)
         rows = every.where(F.col("site") == name)
         if args.max_pages:
             rows = rows.orderBy("resource_no").limit(args.max_pages)
-        areas += site.get("neighborhoods") or []
+        areas[k] = site.get("neighborhoods") or []
         frames.append(rows.withColumns({"site_no": F.lit(k), "default_agency": F.lit(site.get("default_agency", "")), "default_geography": F.lit(site.get("default_geography", ""))}))
     resources = frames[0]
     for f in frames[1:]:
         resources = resources.unionByName(f)
-    found = pipeline.run(resources, {s: packs[s] for s in args.sector}, args.threshold, not args.no_merge, neighborhoods=areas, enrich=None if args.no_llm else pipeline.offline_enrichment).cache()
+    seen = Observation("relevance")
+    enrich = None if args.no_llm else pipeline.offline_enrichment
+    chosen = {s: packs[s] for s in args.sector}
+    found = pipeline.run(resources, chosen, args.threshold, not args.no_merge, neighborhoods=areas, enrich=enrich, observation=seen).cache()
     sinks.write_workbook(found, args.output)
     sinks.write_csv(found, sinks.csv_path(args.output))
+    if told := relevance.warning(seen.get, args.threshold):
+        print(told, file=sys.stderr)
 
 
 if __name__ == "__main__":

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from . import text as T
@@ -66,6 +66,19 @@ def scored(chunks: DataFrame, packs: dict[str, tuple[str, ...]], text: str = "te
     return with_scores.withColumns({"sector": sector, "relevance_score": top}).drop("__scores")
 
 
-def relevant(chunks: DataFrame, packs: dict[str, tuple[str, ...]], threshold: float = THRESHOLD) -> DataFrame:
-    """Chunks whose rounded score reaches the threshold; a threshold of 0 or less admits all."""
-    return scored(chunks, packs).where(F.col("relevance_score") >= threshold)
+def relevant(chunks: DataFrame, packs: dict[str, tuple[str, ...]], threshold: float = THRESHOLD, observation: Observation | None = None) -> DataFrame:
+    """Chunks whose rounded score reaches the threshold; a threshold of 0 or less admits all.
+
+    R4: the counts of chunks and of those that pass are observed. The filter stays above the counts, so each score is
+    computed once and not again inside a pushed-down filter.
+    """
+    passed = F.col("relevance_score") >= threshold
+    counts = (F.count("*").alias("chunks"), F.count(F.when(passed, 1)).alias("passed"))
+    return scored(chunks, packs).observe(observation or "relevance", *counts).where(passed)
+
+
+def warning(counts: dict, threshold: float = THRESHOLD) -> str:
+    """What to tell of a scan in which nothing passed; else ''."""
+    if not counts.get("chunks") or counts.get("passed"):
+        return ""
+    return f"0 of {counts['chunks']} chunks passed the relevance filter (threshold {threshold}); lower it or choose other sectors"

@@ -134,6 +134,12 @@ def agency(text: Column, default: Column) -> Column:
     return T.first(*[T.strip(T.extract(start, p, 0, True)) for p in V.AGENCIES], default)
 
 
+def site_geography(text: Column, default: Column, site_no: Column, areas: dict[int, list[str]]) -> Column:
+    """C13 with each site's own areas."""
+    named = {k: names for k, names in areas.items() if names}
+    return T.cases(((site_no == k, geography(text, default, names)) for k, names in named.items()), geography(text, default)) if named else geography(text, default)
+
+
 def geography(text: Column, default: Column, neighborhoods=()) -> Column:
     """The default, with the first named area or generic place of the first 2000 characters in brackets."""
     start = T.prefix(text, 2000)

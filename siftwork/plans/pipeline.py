@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -18,6 +18,7 @@ from ..functions import text as T
 from ..operators import cluster, merge, order
 from ..sources import html_chunks, paged_text
 from ..storage import materialize
+from . import enrichment
 
 #: Resource columns that a chunk carries on.
 PROVENANCE = ("site_no", "resource_no", "url", "final_url", "local_path", "default_agency", "default_geography")
@@ -33,19 +34,25 @@ def chunks(resources: DataFrame) -> DataFrame:
     return web.unionByName(paged)
 
 
-def signals(chunk_rows: DataFrame, packs=None, threshold: float = relevance.THRESHOLD, neighborhoods=(), enrich: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """Relevant chunks to signals; enrich may replace title, value, strength, fit and notes (L1)."""
+def signals(chunk_rows: DataFrame, packs=None, threshold: float = relevance.THRESHOLD, neighborhoods=(), enrich: Callable[[DataFrame], DataFrame] | None = None, observation: Observation | None = None) -> DataFrame:
+    """Relevant chunks to signals; enrich may replace title, value, strength, fit and notes (L1).
+
+    neighborhoods: the areas of all sites, or a dict of each site's own by site_no. observation gets R4's counts.
+    """
     packs = V.SECTORS if packs is None else packs
-    kept = relevance.relevant(chunk_rows, packs, threshold)
+    kept = relevance.relevant(chunk_rows, packs, threshold, observation)
     text, blank = F.col("text"), F.lit("")
     staged = kept.withColumn("__stage", rules.stage_evidence(text)).withColumns({"procurement_stage": F.col("__stage.stage"), "__evidence": F.col("__stage.evidence")}).drop("__stage")
     typed = staged.withColumns({"signal_type": rules.signal_type(text, F.coalesce("category", blank)), "raw_amounts": rules.amounts(text), "meeting_date": rules.meeting_date(text, F.coalesce("date", blank))})
     valued = typed.withColumns({"estimated_value": rules.best_amount(F.col("raw_amounts")), "lifecycle_stage": rules.lifecycle(F.col("procurement_stage"), F.col("signal_type"))})
     strong = valued.withColumn("signal_strength", rules.strength(text, F.col("procurement_stage"), F.col("estimated_value") != "", F.col("meeting_date") != ""))
     page = F.coalesce("url", blank)
+    home = F.coalesce("default_geography", blank)
+    by_site = isinstance(neighborhoods, dict)
+    place = rules.site_geography(text, home, F.col("site_no"), neighborhoods) if by_site else rules.geography(text, home, neighborhoods)
     made = strong.select(
         "site_no", "resource_no", "chunk_no", T.prefix(F.coalesce("title", blank), 120).alias("signal_title"), rules.agency(text, F.coalesce("default_agency", blank)).alias("agency"),
-        rules.geography(text, F.coalesce("default_geography", blank), neighborhoods).alias("geography"), "sector", "estimated_value", rules.timeline(text, F.col("procurement_stage")).alias("expected_timeline"),
+        place.alias("geography"), "sector", "estimated_value", rules.timeline(text, F.col("procurement_stage")).alias("expected_timeline"),
         "meeting_date", "signal_type", "procurement_stage", "lifecycle_stage", "signal_strength", rules.fit(F.col("relevance_score"), F.col("signal_strength")).alias("strategic_fit"),
         rules.friction(text).alias("friction_level"), F.lit("Unclear").alias("momentum"), rules.trigger(text).alias("trigger_event"), blank.alias("strategic_notes"),
         F.when(F.coalesce("final_url", blank) != "", F.col("final_url")).otherwise(page).alias("source_link"), F.coalesce("local_path", blank).alias("source_file_url"), page.alias("source_page_url"),
@@ -69,8 +76,12 @@ def numbered(rows: DataFrame) -> DataFrame:
     return parts.withColumn("__rank", rank).join(F.broadcast(offsets), "__part").withColumn("seq", (F.col("__rank") + F.col("__offset") - 1).cast("bigint")).drop("__part", "__rank", "__offset", *keys)
 
 
-def run(resources: DataFrame, packs=None, threshold: float = relevance.THRESHOLD, merge_projects: bool = True, merge_threshold: float = cluster.THRESHOLD, neighborhoods=(), enrich=None) -> DataFrame:
-    """Ranked signals: one row a project, or every signal with its project's momentum and friction."""
-    arrived = numbered(signals(chunks(resources), packs, threshold, neighborhoods, enrich))
+def run(resources: DataFrame, packs=None, threshold: float = relevance.THRESHOLD, merge_projects: bool = True, merge_threshold: float = cluster.THRESHOLD, neighborhoods=(), enrich=None, preflight: Callable[[], str | None] | None = None, observation: Observation | None = None) -> DataFrame:
+    """Ranked signals: one row a project, or every signal with its project's momentum and friction.
+
+    preflight (L3) returns or raises what keeps the enrichment from working; the run then ends before it is planned.
+    """
+    enrichment.check(preflight)
+    arrived = numbered(signals(chunks(resources), packs, threshold, neighborhoods, enrich, observation))
     assigned = cluster.assign(arrived, merge_threshold)
     return order.ranked(merge.merged(assigned) if merge_projects else merge.kept_all(assigned))

@@ -11,13 +11,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import vocab as V
 from .functions import relevance, rules, similarity, urls
 from .functions import text as T
 from .operators import cluster, merge, order
-from .sources import crawl, html_chunks, paged_text
-from .storage import table
+from .sources import crawl, discovery, html_chunks, paged_text
+from .storage import materialize, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -123,7 +124,9 @@ _FIT = "CASE WHEN relevance_score >= 0.3 AND {0} = 'High' THEN 'Strong Fit' WHEN
 def relevance_rank(spark, sf_dir):
     """R1-R3, C10, O1 over documents."""
     kept = relevance.relevant(table(spark, sf_dir, "documents").select("doc_id", "text"), PACKS)
-    return kept.select("doc_id", "sector", "relevance_score", rules.fit(F.col("relevance_score"), F.lit("Medium")).alias("strategic_fit")).orderBy(F.desc("relevance_score"), "doc_id")
+    rows = kept.select("doc_id", "sector", "relevance_score", rules.fit(F.col("relevance_score"), F.lit("Medium")).alias("strategic_fit"))
+    # a sort samples its input first; the scores are narrow rows, so they are written and not computed again
+    return materialize(rows, "scores").orderBy(F.desc("relevance_score"), "doc_id")
 
 
 @query("sector_argmax", _SCORED + "SELECT sector, count(*) AS documents, CAST(max(relevance_score) AS DOUBLE) AS best FROM b GROUP BY sector")
@@ -418,10 +421,20 @@ def ui_filter_metrics(spark, sf_dir):
     return merge.metrics(order.chosen(signals(spark, sf_dir)))
 
 
-@query("final_order", f"SELECT seq, signal_strength, relevance_score FROM ({SIGNALS})")
+@query("final_order", "SELECT seq, signal_strength, relevance_score, row_number() OVER (ORDER BY CASE signal_strength WHEN 'High' THEN 0 WHEN 'Medium' THEN 1 WHEN 'Low' THEN 2 ELSE 3 END, relevance_score DESC, seq) - 1 AS place "
+       f"FROM ({SIGNALS})")
 def final_order(spark, sf_dir):
-    """O1: strength, then relevance, then arrival."""
-    return order.ranked(signals(spark, sf_dir)).select("seq", "signal_strength", "relevance_score")
+    """O1: strength, then relevance, then arrival, with the place of each row in the order.
+
+    The order is written in range partitions; a row's place is its place in its partition after the rows of those before.
+    """
+    ranked = order.ranked(signals(spark, sf_dir)).select("seq", "signal_strength", "relevance_score")
+    rows = materialize(ranked.withColumns({"part": F.spark_partition_id(), "at": F.monotonically_increasing_id()}), "order")
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    # one row a partition
+    starts = rows.groupBy("part").agg(F.count("*").alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    inside = F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
+    return rows.join(F.broadcast(starts), "part").select("seq", "signal_strength", "relevance_score", (F.col("start") + inside).alias("place"))
 
 
 @query("signal_dedupe", f"SELECT seq, source_link FROM (SELECT *, row_number() OVER (PARTITION BY source_link || '::' || lower(left(signal_title, 60)) ORDER BY confidence_score DESC, seq) AS r FROM ({SIGNALS})) WHERE r = 1")
@@ -618,12 +631,18 @@ def paged_chunks(spark, sf_dir):
 @query("link_extract", "WITH h AS (SELECT page_id, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) AS site, unnest(regexp_extract_all(html, '<a href=\"([^\"]*)\">', 1)) AS href FROM pages) "
        "SELECT page_id, site || split_part(replace(replace(replace(href, '&quot;', '\"'), '&#x27;', ''''), '&amp;', '&'), '#', 1) AS link FROM h")
 def link_extract(spark, sf_dir):
-    """U7, U16."""
+    """U7."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     return html_chunks.extracted_links(pages).select("page_id", "link")
 
 
-@query("content_hash_dedupe")
+_VISIBLE = r"regexp_replace(regexp_replace(coalesce(html, ''), '<!--.*?-->|<!DOCTYPE[^>]*>', '', 'gs'), '<(nav|header|footer|script|style|noscript)\b.*?</(nav|header|footer|script|style|noscript)>', '<x>', 'gs')"
+_DECODED = """replace(replace(replace(replace(replace(x, '&quot;', '"'), '&#x27;', ''''), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')"""
+
+
+@query("content_hash_dedupe", f"WITH p AS (SELECT page_id, url, CASE WHEN coalesce(html, '') = '' THEN '' ELSE md5(array_to_string(list_filter(list_transform(string_split_regex({_VISIBLE}, '<[^>]*>'), "
+       f"lambda x: regexp_replace({_DECODED}, '^\\s+|\\s+$', '', 'g')), lambda x: x <> ''), ' ')) END AS content_hash FROM pages) "
+       "SELECT page_id, url, content_hash FROM p WHERE content_hash = '' OR page_id IN (SELECT min(page_id) FROM p GROUP BY content_hash)")
 def content_hash_dedupe(spark, sf_dir):
     """The first page of each visible text."""
     pages = html_chunks.hashed(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
@@ -646,9 +665,50 @@ def crawl_pages(spark, sf_dir):
     return crawl.crawl(seeds, web, ["example.com", "example.net", "example.org"]).select("seq", "url", "category", "depth")
 
 
-@query("neardup_documents", "SELECT min(doc_id) AS doc_id, count(*) AS copies FROM documents WHERE text IS NOT NULL AND text <> '' GROUP BY md5(text)")
-def neardup_documents(spark, sf_dir):
-    """U9, O4 on documents: the first of each equal text."""
+_BARE = "concat('city', CAST(s_suppkey AS VARCHAR(20)), '.example.org')"
+#: Links of a made-up home page: href as SQL, and the anchor.
+_HREFS = [("'/agenda/1'", "Council agenda"), (f"concat('https://files.', {_BARE}, '/x')", "Files"), (f"concat('http://', {_BARE}, '/bids#top')", "Open bids"),
+          (f"concat('http://', {_BARE}, '/bids')", "again"), ("'https://other.example.com/'", "Elsewhere"), ("'/logo.PNG'", "Logo"), ("'mailto:a@b.org'", "Mail"),
+          (f"concat('https://not', {_BARE}, '/')", "Not ours"), ("'/more?page=2#x'", "More")]
+_ANCHORS = ", ".join(f"""'<a href="', {h}, '"> {t} </a>'""" for h, t in _HREFS)
+_HOMES = (f"SELECT s_suppkey, concat('https://www.', {_BARE}) AS url, concat('<html><head><title>Home</title><meta name=\"description\" content=\"City of ', n_name, ', FL and more\"></head><body>', "
+          f"{_ANCHORS}, '</body></html>') AS html FROM supplier JOIN nation ON s_nationkey = n_nationkey")
+_CANDIDATES = (
+    "WITH h AS (" + " UNION ALL ".join(f"SELECT s_suppkey, {_BARE} AS bare, {k} AS pos, '{t}' AS anchor, {h} AS href FROM supplier" for k, (h, t) in enumerate(_HREFS)) + "), "
+    "r AS (SELECT s_suppkey, bare, pos, anchor, split_part(CASE WHEN starts_with(href, '/') THEN concat('https://www.', bare, href) ELSE href END, '#', 1) AS link FROM h), "
+    "k AS (SELECT *, regexp_extract(link, '^https?://([^/?]*)', 1) AS host FROM r WHERE NOT regexp_matches(lower(link), '\\.(jpg|jpeg|png|gif|css|js|ico|woff|woff2)$')), "
+    "c AS (SELECT s_suppkey, link, arg_min(anchor, pos) AS anchor FROM k WHERE host = bare OR ends_with(host, '.' || bare) GROUP BY s_suppkey, link) ")
+
+
+def homes(spark, sf_dir):
+    """A home page for every supplier."""
+    return spark.sql(_HOMES.replace("FROM supplier JOIN nation", "FROM {supplier} JOIN {nation}"), supplier=table(spark, sf_dir, "supplier"), nation=table(spark, sf_dir, "nation"))
+
+
+@query("candidate_links", _CANDIDATES + "SELECT s_suppkey, link, anchor FROM c")
+def candidate_links(spark, sf_dir):
+    """U16."""
+    return discovery.candidate_links(homes(spark, sf_dir)).select("s_suppkey", "link", "anchor")
+
+
+@query("site_discovery", "SELECT concat('https://www.city', CAST(s_suppkey AS VARCHAR(20)), '.example.org') AS base_url, concat('city', CAST(s_suppkey AS VARCHAR(20))) AS name, "
+       "'City of ' || n_name AS default_agency, n_name || ', FL' AS default_geography, CASE WHEN s_suppkey % 2 = 0 THEN 'primegov' ELSE 'default' END AS crawler_mode, "
+       "CASE WHEN s_suppkey % 2 = 0 THEN 'https://fair.primegov.com' ELSE '' END AS primegov_api_base, CAST(CASE WHEN s_suppkey % 2 = 0 THEN 4 ELSE 3 END AS INT) AS domains, "
+       "CAST(CASE WHEN s_suppkey % 3 = 0 THEN 6 ELSE 4 END AS INT) AS candidates FROM supplier JOIN nation ON s_nationkey = n_nationkey")
+def site_discovery(spark, sf_dir):
+    """The meta description names the place, every second meetings page the content system; every third site has a sitemap."""
+    rows = homes(spark, sf_dir)
+    web = rows.select(F.concat("url", F.lit("/agenda/1")).alias("url"), F.lit(200).alias("status_code"), F.when(F.col("s_suppkey") % 2 == 0, "at https://Fair.primegov.com/x").otherwise("none").alias("html"))
+    listed = F.array(*[F.concat("url", F.lit(x)) for x in ("/agenda/1", "/m1", "/m2")])
+    maps = rows.where("s_suppkey % 3 = 0").select(F.col("url").alias("base_url"), F.posexplode(listed).alias("pos", "url"))
+    found = discovery.discover(rows.select("url", "html"), maps, web)
+    told = F.regexp_extract(F.array_join("notes", "\n"), r"Discovered (\d+) candidate", 1).cast("int")
+    return found.select("base_url", "name", "default_agency", "default_geography", "crawler_mode", "primegov_api_base", F.size("allowed_domains").alias("domains"), told.alias("candidates"))
+
+
+@query("equal_documents", "SELECT min(doc_id) AS doc_id, count(*) AS copies FROM documents WHERE text IS NOT NULL AND text <> '' GROUP BY md5(text)")
+def equal_documents(spark, sf_dir):
+    """The first of each equal text and its copies; an extra, no operator of its own."""
     rows = table(spark, sf_dir, "documents").where("text is not null and text <> ''").select("doc_id", F.md5(F.col("text").cast("binary")).alias("hash"))
     return rows.groupBy("hash").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")).select("doc_id", "copies")
 

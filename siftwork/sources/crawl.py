@@ -32,7 +32,10 @@ def crawl(seeds: DataFrame, web: DataFrame, domains: list[str], max_depth: int =
     Breadth first: pages by depth, then parent, then priority links before others, then link order. A URL is visited
     once (by its normal form); pages with the same visible text count once; errors take no place.
     """
-    pages = classified(web).withColumn("__key", urls.normal(F.col("url"))).dropDuplicates(["__key"]).drop("url")
+    pages = classified(web).withColumn("__key", urls.normal(F.col("url")))
+    # of URLs with one normal form the least URL's page, and of equal URLs the least row, whatever the task order
+    columns = [c for c in pages.columns if c not in ("url", "__key")]
+    pages = pages.groupBy("__key").agg(F.min_by(F.struct(*columns), F.struct("url", F.xxhash64(*columns))).alias("r")).select("__key", "r.*")
     allowed = urls.allowed(F.col("url"), domains) & ~urls.mentions(F.col("url"), ignored)
     first = seeds.where(allowed).select("url", "category", F.array(F.col("pos").cast("bigint")).alias("path"), urls.normal(F.col("url")).alias("__key"))
     frontier, visited, found = _once(first), None, None

@@ -244,7 +244,7 @@ def collapse(path: str) -> str:
 
 
 def links(html: str, base: str, domains: list[str] | None = None) -> list[dict[str, str]]:
-    """(url, text) of a page's links, resolved, without fragment, collapsed; of allowed hosts if domains are given."""
+    """(url, text) of a page's links, resolved, without fragment, collapsed; of allowed hosts if domains are given."""
     out = []
     for a in tree(html or "").all("a"):
         href = a.attributes.get("href")
@@ -266,7 +266,7 @@ def content_hash(html: str | None) -> str:
     return hashlib.md5(without_boilerplate(tree(html)).text(" ").encode("utf-8", "ignore")).hexdigest() if html else ""
 
 
-def _mapped(pages: DataFrame, make, column: str, arrow: pa.DataType, inputs: tuple[str, ...]) -> DataFrame:
+def mapped(pages: DataFrame, make, column: str, arrow: pa.DataType, inputs: tuple[str, ...]) -> DataFrame:
     """All columns of pages, and one made from the inputs by row."""
     at = [pages.columns.index(c) for c in inputs]
 
@@ -283,17 +283,17 @@ def parsed(resources: DataFrame) -> DataFrame:
     """resources(html, category, ...) to chunks with chunk_no; html is left behind."""
     text = pa.string()
     kind = pa.list_(pa.struct([(n, text) for n in ("text", "title", "date", "chunk_type", "category")]))
-    made = _mapped(resources, lambda html, category: chunks(html, category or ""), "__chunks", kind, ("html", "category"))
+    made = mapped(resources, lambda html, category: chunks(html, category or ""), "__chunks", kind, ("html", "category"))
     return made.drop("html", "category").select("*", F.posexplode("__chunks").alias("chunk_no", "__c")).select("*", "__c.*").drop("__chunks", "__c")
 
 
 def extracted_links(pages: DataFrame, domains: list[str] | None = None, base: str = "url") -> DataFrame:
     """pages with one row for each link: link_no, link, anchor."""
     kind = pa.list_(pa.struct([("url", pa.string()), ("text", pa.string())]))
-    made = _mapped(pages, lambda html, url: links(html, url, domains), "__links", kind, ("html", base))
+    made = mapped(pages, lambda html, url: links(html, url, domains), "__links", kind, ("html", base))
     return made.drop("html").select("*", F.posexplode("__links").alias("link_no", "__l")).select("*", F.col("__l.url").alias("link"), F.col("__l.text").alias("anchor")).drop("__links", "__l")
 
 
 def hashed(pages: DataFrame) -> DataFrame:
     """pages with content_hash."""
-    return _mapped(pages, content_hash, "content_hash", pa.string(), ("html",))
+    return mapped(pages, content_hash, "content_hash", pa.string(), ("html",))
