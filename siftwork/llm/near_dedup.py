@@ -11,7 +11,8 @@ up to REGION classes, all pairs of different components that look similar are co
 its depth adapts: it is split by the rarest shingles of its classes. Two sets of the wanted similarity share one of
 each set's first n - wanted + 1 shingles in any common order; in an order by rising frequency over all crowded classes
 these are what a class does not share with its family. Classes that share such a shingle are a region of
-its own; if that is crowded still, its classes outside the largest component meet all others in blocks of REGION.
+its own; if that is crowded still, its classes outside the largest component meet all others in blocks of BLOCK. A pair is looked at by its sizes, its parity sketches
+and its estimated similarity where its region lies, so that few pairs but links are confirmed.
 So no pair of a crowded region is left unseen, and a family does not form its pairs.
 
 A link is 100 * |A & B| >= percent * |A | B| (85 in the query, 80 in keep_first) on sets of 5-word shingles (64-bit hashes). Texts
@@ -47,6 +48,11 @@ COUNTERS = 1 << 20
 #: How far under the limit a pair's estimated similarity may lie to be confirmed; five standard errors and more,
 #: so that a pair at the limit is dropped with a probability of 1 in 10,000,000 or less.
 MARGIN = 20
+#: Bits of a class's parity sketch: bit b tells whether an odd number of its shingles fall on b. Two sets differ in at least
+#: as many shingles as their sketches differ in bits, so a pair with too many such bits is no link, without exception.
+PARITY = 1024
+#: Classes on either side of a cell of a region that rare shingles leave crowded.
+BLOCK = 512
 PERCENT = 85
 #: Limit of keep_first, the usual one of near-duplicates.
 KEEP_PERCENT = 80
@@ -106,21 +112,62 @@ def signatures(sets: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return out
 
 
+def parities(sets: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+    """Parity sketch of each non-empty set."""
+    full = sizes[sizes > 0]
+    ends = np.cumsum(full)
+    out: list[bytes] = []
+    for at in range(0, len(full), 1024):
+        n = full[at : at + 1024]
+        part = sets[ends[at] - full[at] : ends[at] - full[at] + n.sum()]
+        slot = np.repeat(np.arange(len(n)) * PARITY, n) + (part % np.uint64(PARITY)).astype(np.int64)
+        odd = np.bincount(slot, minlength=len(n) * PARITY).astype(np.uint8) & 1
+        out += [row.tobytes() for row in np.packbits(odd.reshape(len(n), PARITY), axis=1)]
+    return out
+
+
+def _shorts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Low halves of the MinHash values, and parity words, of the column short."""
+    rows = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), 2 * TREES * DEPTH + PARITY // 8)
+    return np.ascontiguousarray(rows[:, : 2 * TREES * DEPTH]).view(np.uint16), np.ascontiguousarray(rows[:, 2 * TREES * DEPTH :]).view(np.uint64)
+
+
+def _similar(i: np.ndarray, j: np.ndarray, size: np.ndarray, sig: np.ndarray, odd: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Those of the pairs (i, j) that sizes, parities and the estimated similarity admit, and that estimate; exact but for the estimate."""
+    left, right, same = [], [], []
+    for at in range(0, len(i), 1 << 16):
+        a, b = i[at : at + (1 << 16)], j[at : at + (1 << 16)]
+        fits = 100 * np.minimum(size[a], size[b]) >= percent * np.maximum(size[a], size[b])
+        a, b = a[fits], b[fits]
+        apart = np.bitwise_count(odd[a] ^ odd[b]).sum(axis=1, dtype=np.int64)
+        fits = (100 + percent) * apart <= (100 - percent) * (size[a] + size[b])
+        a, b = a[fits], b[fits]
+        share = (sig[a] == sig[b]).mean(axis=1)
+        fits = share >= (percent - MARGIN) / 100
+        left.append(a[fits])
+        right.append(b[fits])
+        same.append(share[fits])
+    if not left:
+        return i, j, np.zeros(0)
+    return np.concatenate(left), np.concatenate(right), np.concatenate(same)
+
+
 def sketch(documents: DataFrame) -> DataFrame:
-    """Per document: doc_id, n_shingles, set_hash (of the whole set; null if empty) and signature (binary)."""
+    """Per document: doc_id, n_shingles, set_hash (of the whole set; null if empty) and signature and parity (binary)."""
     kind = documents.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in common.text_slices(batch, 1, 2 << 20):
                 sets, sizes = shingle_sets(common.as_bytes(part.column(1)))
-                labels = iter(signatures(sets, sizes))
+                labels, odd = iter(signatures(sets, sizes)), iter(parities(sets, sizes))
                 ends = np.cumsum(sizes)
                 whole = [xxhash.xxh3_128_digest(sets[e - n : e].tobytes()) if n else None for e, n in zip(ends, sizes, strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(whole, pa.binary()), pa.array([next(labels).tobytes() if n else None for n in sizes], pa.binary())],
-                                                 names=["doc_id", "n_shingles", "set_hash", "signature"])
+                made = [pa.array([next(labels).tobytes() if n else None for n in sizes], pa.binary()), pa.array([next(odd) if n else None for n in sizes], pa.binary())]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(whole, pa.binary()), *made],
+                                                 names=["doc_id", "n_shingles", "set_hash", "signature", "parity"])
 
-    return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles bigint, set_hash binary, signature binary")
+    return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles bigint, set_hash binary, signature binary, parity binary")
 
 
 def _trees(classes: DataFrame, trees: int, *columns: str) -> DataFrame:
@@ -158,12 +205,12 @@ def neighbours(ordered: DataFrame, percent: int = PERCENT) -> DataFrame:
                 edge.append(edge[-1] + held.num_rows // RUN * RUN)
                 held = rows.slice(edge[-1] - 1)
             rep, size = (rows.column(k).to_numpy() for k in (2, 3))
-            sig = np.frombuffer(b"".join(rows.column(4).to_pylist()), np.uint16).reshape(len(region), TREES * DEPTH)
+            sig, odd = _shorts(rows.column(4))
             left, right = [], []
             for a, b in zip(edge[:-1], edge[1:], strict=True):
                 for start in range(a, b - 1, RUN):
                     own = slice(start, min(b, start + RUN + 1))  # one class is in both of two runs
-                    i, j = _run_pairs(rep[own], size[own], sig[own], percent)
+                    i, j = _run_pairs(rep[own], size[own], sig[own], odd[own], percent)
                     left.append(rep[own][i])
                     right.append(rep[own][j])
             if left:
@@ -173,7 +220,7 @@ def neighbours(ordered: DataFrame, percent: int = PERCENT) -> DataFrame:
     return ordered.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
-def _run_pairs(rep: np.ndarray, size: np.ndarray, sig: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+def _run_pairs(rep: np.ndarray, size: np.ndarray, sig: np.ndarray, odd: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Positions of the pairs of one run: a maximum spanning forest of all pairs of a small run, else of leader and neighbours."""
     n = len(rep)
     if n <= REGION:
@@ -184,11 +231,9 @@ def _run_pairs(rep: np.ndarray, size: np.ndarray, sig: np.ndarray, percent: int)
         others = np.delete(np.arange(n), lead)
         steps = [np.arange(n - k) for k in range(1, NEIGHBOURS + 1)]
         i, j = np.concatenate((np.full(n - 1, lead), *steps)), np.concatenate((others, *[s + k for k, s in enumerate(steps, 1)]))
-    fits = (100 * np.minimum(size[i], size[j]) >= percent * np.maximum(size[i], size[j])) & (rep[i] != rep[j])
-    i, j = i[fits], j[fits]
-    same = (sig[i] == sig[j]).mean(axis=1)
-    near = np.flatnonzero(same >= (percent - MARGIN) / 100)
-    picked = near[_forest(n, i[near], j[near], same[near])]
+    other = rep[i] != rep[j]
+    i, j, same = _similar(i[other], j[other], size, sig, odd, percent)
+    picked = _forest(n, i, j, same)
     return i[picked], j[picked]
 
 
@@ -242,7 +287,7 @@ def blocks(crowded: DataFrame) -> DataFrame:
     sizes = crowded.groupBy("region", "component").agg(F.count("*").alias("m"), F.max("n").alias("n"))
     main = sizes.groupBy("region").agg(F.max_by("component", "m").alias("main"), (F.max("n") - F.max("m")).alias("minor"))
     rows = crowded.join(main, "region").withColumn("is_minor", F.expr("component <> main"))
-    few, many = (F.ceil(F.col(c) / REGION).cast("int") for c in ("minor", "n"))
+    few, many = (F.ceil(F.col(c) / BLOCK).cast("int") for c in ("minor", "n"))
     every = lambda n: F.sequence(F.lit(0), n - 1)
     mine = lambda n: F.pmod(F.xxhash64("rep"), n).cast("int")
     as_minor = rows.where("is_minor").select("region", "rep", "component", mine(few).alias("i"), F.explode(every(many)).alias("j"))
@@ -270,17 +315,17 @@ def _forest(n: int, left: np.ndarray, right: np.ndarray, weight: np.ndarray) ->
     return out
 
 
-def _pairs_of(region: np.ndarray, rep: np.ndarray, group: np.ndarray, size: np.ndarray, sig: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+def _pairs_of(region: np.ndarray, rep: np.ndarray, group: np.ndarray, size: np.ndarray, sig: np.ndarray, odd: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Similar pairs of different groups inside each region of rows sorted by region."""
     edge = np.flatnonzero(np.concatenate(([True], region[1:] != region[:-1], [True])))
     left_all, right_all = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
         i, j = np.triu_indices(b - a, 1)
-        apart = (group[a + i] != group[a + j]) & (100 * np.minimum(size[a + i], size[a + j]) >= percent * np.maximum(size[a + i], size[a + j]))
-        i, j = a + i[apart], a + j[apart]
-        near = (sig[i] == sig[j]).mean(axis=1) >= (percent - MARGIN) / 100
-        left_all.append(rep[i[near]])
-        right_all.append(rep[j[near]])
+        i, j = a + i, a + j
+        apart = group[i] != group[j]
+        i, j, _ = _similar(i[apart], j[apart], size, sig, odd, percent)
+        left_all.append(rep[i])
+        right_all.append(rep[j])
     left, right = np.concatenate(left_all), np.concatenate(right_all)
     return np.minimum(left, right), np.maximum(left, right)
 
@@ -298,9 +343,9 @@ def candidates(members: DataFrame, percent: int = PERCENT) -> DataFrame:
             held = rows.slice(end)
             if end:
                 part = rows.slice(0, end)
-                sig = np.frombuffer(b"".join(part.column(4).to_pylist()), np.uint16).reshape(end, TREES * DEPTH)
+                sig, odd = _shorts(part.column(4))
                 rep, group, size = (part.column(k).to_numpy() for k in (1, 2, 3))
-                a, b = _pairs_of(region[:end], rep, group, size, sig, percent)
+                a, b = _pairs_of(region[:end], rep, group, size, sig, odd, percent)
                 if len(a):
                     yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
@@ -379,12 +424,13 @@ def group(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
     made = common.materialize(sketch(texts), "sketch", True)
     ids = made.select(F.col("doc_id").cast("bigint").alias("doc_id"), "n_shingles", "set_hash")
     reps = common.materialize(ids.where("set_hash is not null and doc_id is not null").groupBy("set_hash").agg(F.min("doc_id").alias("rep")), "classes", True)
-    signed = made.select(F.col("doc_id").cast("bigint").alias("rep"), F.col("n_shingles").alias("size"), "signature").where("signature is not null")
+    signed = made.select(F.col("doc_id").cast("bigint").alias("rep"), F.col("n_shingles").alias("size"), "signature", "parity").where("signature is not null")
 
     def shorten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            short = [np.frombuffer(x, np.uint32).astype(np.uint16).tobytes() for x in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(short, pa.binary())], names=["rep", "size", "signature", "short"])
+            values, odd = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            short = [np.frombuffer(x, np.uint32).astype(np.uint16).tobytes() + y for x, y in zip(values, odd, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(short, pa.binary())], names=["rep", "size", "signature", "short"])
 
     classes = signed.join(reps.select("rep"), "rep", "left_semi").mapInArrow(shorten, "rep bigint, size bigint, signature binary, short binary")
     parts = links_of(common.materialize(classes, "signatures", True), texts, percent)
