@@ -182,6 +182,7 @@ def sorted_order(classes: DataFrame) -> DataFrame:
     keys = _trees(classes, JOINING, "rep")
     shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     met = keys.join(shared, "key").groupBy("rep").agg(F.collect_set("tree").alias("trees"))  # JOINING at most
+    met = common.materialize(met, "met", True)  # so that Spark knows its size and shuffles the signatures only where it is large
     rows = classes.join(met, "rep").select("rep", "size", "short", "signature", F.explode("trees").alias("tree"))
     rows = common.materialize(rows.select("tree", F.col("signature").substr(F.col("tree") * (4 * DEPTH) + 1, F.lit(4 * DEPTH)).alias("label"), "rep", "size", "short"), "labels", True)
     parts = max(1, int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
@@ -404,7 +405,8 @@ def links_of(classes: DataFrame, documents: DataFrame, percent: int) -> DataFram
     parts = common.materialize(common.components(links, "a", "b"), "parts", True).select(F.col("node").alias("rep"), "component")
     known = classes.join(parts, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     members = common.materialize(open_regions(known), "open-regions", True)
-    crowded = members.where(F.col("n") > REGION).select("rep", "component").distinct()
+    # written, so that Spark knows its size and shuffles the texts only where it is large
+    crowded = common.materialize(members.where(F.col("n") > REGION).select("rep", "component").distinct(), "crowded", True)
     members = members.where(F.col("n") <= REGION).select("region", "rep", "component")
     if not crowded.isEmpty():
         rare = common.materialize(rare_shingles(crowded, documents, percent), "rare-regions", True)
