@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,9 +42,17 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def return_memory() -> None:
+    """Give what this process has freed back to the system; the allocators of Arrow and C keep it otherwise."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # of glibc only
+        trim(0)
+
+
 def held_out(doc_id: str = "doc_id"):
     """Fold column of the operators that learn: crc32 of the id as text, modulo 4, is 2."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-__all__ = ["as_bytes", "components", "drop_path", "drop_table", "held_out", "materialize", "mix64", "shared_dir", "table", "text_slices", "work_path"]
+__all__ = ["as_bytes", "components", "drop_path", "drop_table", "held_out", "materialize", "mix64", "return_memory", "shared_dir", "table", "text_slices", "work_path"]

@@ -1,7 +1,10 @@
 from __future__ import annotations
 
+import re
+from pathlib import Path
+
 import corpus_pipeline
-from siftwork.llm import registry
+from siftwork.llm import common, registry, toxicity
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -32,3 +35,26 @@ def test_every_query_has_rows(spark):
     assert sorted(registry.QUERIES, key=lambda n: int(n[2:].split("_")[0]))[-1].startswith("op10_") and len(registry.QUERIES) == 10
     for name in ("op1_html_extract", "op3_quality_rules", "op10_packing"):
         assert registry.QUERIES[name](spark, SMALL).count() > 0
+
+
+def test_freed_memory_goes_back_to_the_system():
+    def mb() -> float:
+        return sum(map(int, re.findall(r"\nPss_Anon:\s+(\d+)", Path("/proc/self/smaps_rollup").read_text()))) / 1024
+
+    common.return_memory()
+    before = mb()
+    held = [bytes(2000) for _ in range(50_000)]
+    last = held[-1]  # keeps the end of the heap in use
+    assert mb() > before + 80
+    del held
+    common.return_memory()
+    assert mb() < before + 20 and len(last) == 2000
+
+
+def test_memory_is_returned_once_toxicity_is_learned(spark, monkeypatch):
+    said: list[str] = []
+    monkeypatch.setattr(toxicity, "learn", lambda *_: said.append("learned"))
+    monkeypatch.setattr(common, "return_memory", lambda: said.append("returned"))
+    monkeypatch.setattr(toxicity, "without_toxic", lambda docs, _: docs)
+    corpus_pipeline.non_toxic(spark, spark.read.parquet(f"{SMALL}/documents.parquet"), SMALL)
+    assert said == ["learned", "returned"]
