@@ -644,8 +644,8 @@ _DECODED = """replace(replace(replace(replace(replace(x, '&quot;', '"'), '&#x27;
        f"lambda x: regexp_replace({_DECODED}, '^\\s+|\\s+$', '', 'g')), lambda x: x <> ''), ' ')) END AS content_hash FROM pages) "
        "SELECT page_id, url, content_hash FROM p WHERE content_hash = '' OR page_id IN (SELECT min(page_id) FROM p GROUP BY content_hash)")
 def content_hash_dedupe(spark, sf_dir):
-    """The first page of each visible text."""
-    pages = html_chunks.hashed(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    """The first page of each visible text; as in its SQL, a reference counts only with its semicolon."""
+    pages = html_chunks.hashed(table(spark, sf_dir, "pages").select("page_id", "url", "html"), whole=True)
     return urls.keep_first_content(pages, "content_hash", "page_id").select("page_id", "url", "content_hash")
 
 

@@ -7,6 +7,7 @@ import json
 import zipfile
 from xml.etree import ElementTree
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -57,6 +58,17 @@ def test_links_and_hash(spark):
     assert html_chunks.extracted_links(frame).count() == 3 and html_chunks.hashed(frame).where("content_hash = ''").count() == 1
 
 
+def test_hash_of_references_without_semicolon(spark, tmp_path):
+    from siftwork import queries
+
+    pages = [(1, "u1", "<title>a&amp;&amp</title><p>x &lt y &#x27;&#39 &amp;lt; & z&</p>"), (2, "u2", "<p>a&amp;&amp;</p>"), (3, "u3", "<p>a&amp;&amp</p>"), (4, "u4", "")]
+    spark.createDataFrame(pages, "page_id bigint, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = sorted(tuple(r) for r in queries.QUERIES["content_hash_dedupe"](spark, str(tmp_path)).collect())
+    db = duckdb.connect()
+    db.execute(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    assert got == sorted(db.execute(queries.ORACLES["content_hash_dedupe"]).fetchall()) and len(got) == 4
+
+
 def test_crawl(spark):
     page = "<a href='/agenda/1'>a</a><a href='/b'>b</a><a href='/parks/x'>p</a><a href='/b/'>again</a>"
     web = [("http://x.gov/", 200, "text/html; charset=utf-8", page + "home"), ("http://x.gov/b", 200, "text/html", "<a href='/deep'>d</a> b"), ("http://x.gov/agenda/1", 200, "TEXT/HTML", "agenda"),
