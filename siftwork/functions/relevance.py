@@ -1,7 +1,7 @@
 """Relevance of a text to keyword packs (R1-R3): column expressions without a shuffle.
 
-A keyword is counted by its pattern only in texts that contain it as a substring, so most packs cost one
-substring search a keyword.
+The words of a text are set apart once, so that a keyword of one word costs a search for a plain string; another is
+counted by its pattern, and only in texts that contain it as a substring.
 """
 
 from __future__ import annotations
@@ -21,9 +21,54 @@ def _escape(keyword: str) -> str:
     return re.sub(r"([^\w\s])", r"\\\1", keyword)
 
 
-def counts(text: Column, keywords) -> list[Column]:
-    """Occurrences of each keyword in a lower-cased text."""
-    return [F.when(F.contains(text, F.lit(k.lower())), F.regexp_count(text, F.lit(T.pattern(rf"\b{_escape(k.lower())}\b")))).otherwise(0) for k in keywords]
+def spaced(text: Column) -> Column:
+    """The words of a text, each with a space of its own before and after, so that a word is found as a plain string."""
+    return F.concat(F.lit(" "), F.regexp_replace(text, r"(?U)\W+", "  "), F.lit(" "))
+
+
+def _is_word(keyword: str) -> bool:
+    return re.fullmatch("[a-z0-9_]+", keyword) is not None
+
+
+def _split(keywords) -> tuple[list[str], list[str]]:
+    """Keywords of one word, as they stand in a spaced text, and the others."""
+    folded = [k.lower() for k in keywords]
+    return [f" {k} " for k in folded if _is_word(k)], [k for k in folded if not _is_word(k)]
+
+
+def _words(keywords: list[str]) -> Column:
+    return F.array(*map(F.lit, keywords)).cast("array<string>")
+
+
+def counts(text: Column, words: Column, keywords) -> Column:
+    """Occurrences of the keywords, in any order, in a lower-cased text, words being the spaced text.
+
+    Higher-order functions keep the loops over keywords out of the generated code, which is compiled only if it is short.
+    """
+    single, others = _split(keywords)
+    found = F.transform(_words(single), lambda k: ((F.octet_length(words) - F.octet_length(F.replace(words, k, F.lit("")))) / F.octet_length(k)).cast("int"))
+    each = [F.when(F.contains(text, F.lit(k)), F.regexp_count(text, F.lit(T.pattern(rf"\b{_escape(k)}\b")))).otherwise(0) for k in others]
+    return F.concat(found, F.transform(F.array(*each), lambda n: n)) if others else found
+
+
+def titled(zone: Column, words: Column, keywords) -> Column:
+    """How many of the keywords the first characters of a lower-cased text hold, words being these spaced."""
+    single, others = _split(keywords)
+    each = [F.contains(zone, F.lit(k)) & T.hits(zone, rf"\b{_escape(k)}\b") for k in others]
+    found = F.size(F.filter(_words(single), lambda k: F.contains(words, k)))
+    return found + F.size(F.filter(F.array(*each), lambda x: x)) if others else found
+
+
+def _score(counted: Column, in_title: Column, size: Column, keywords: int) -> Column:
+    """R1 of a pack's counts, the number of its keywords in the title and the words of the text."""
+    n = F.aggregate(counted, F.lit(0), lambda a, x: a + x)
+    unique = F.size(F.filter(counted, lambda x: x > 0))
+    frequency = F.least(n / (size / F.lit(50.0)), F.lit(1.0))
+    coverage = F.least(unique / F.lit(max(keywords * 0.3, 1.0)), F.lit(1.0))
+    # the running sum of 0.15 passes its limit at the second keyword
+    bonus = F.least(in_title * F.lit(0.15), F.lit(0.3))
+    score = F.round(F.least(0.4 * frequency + 0.35 * coverage + 0.25 * bonus, F.lit(1.0)), 3)
+    return F.when(n == 0, 0.0).otherwise(score)
 
 
 def relevance(text: Column, keywords) -> Column:
@@ -32,17 +77,8 @@ def relevance(text: Column, keywords) -> Column:
     if not keywords:
         return F.lit(0.0)
     lower = F.lower(text)
-    each = F.array(*counts(lower, keywords))
-    in_title = F.array(*[F.contains(T.prefix(lower, TITLE_ZONE), F.lit(k.lower())) & T.hits(T.prefix(lower, TITLE_ZONE), rf"\b{_escape(k.lower())}\b") for k in keywords])
-    n = F.aggregate(each, F.lit(0), lambda a, x: a + x)
-    unique = F.size(F.filter(each, lambda x: x > 0))
-    titled = F.size(F.filter(in_title, lambda x: x))
-    frequency = F.least(n / (T.word_count(lower) / F.lit(50.0)), F.lit(1.0))
-    coverage = F.least(unique / F.lit(max(len(keywords) * 0.3, 1.0)), F.lit(1.0))
-    # the running sum of 0.15 passes its limit at the second keyword
-    bonus = F.least(titled * F.lit(0.15), F.lit(0.3))
-    score = F.round(F.least(0.4 * frequency + 0.35 * coverage + 0.25 * bonus, F.lit(1.0)), 3)
-    return F.when(n == 0, 0.0).otherwise(score)
+    zone = T.prefix(lower, TITLE_ZONE)
+    return _score(counts(lower, spaced(lower), keywords), titled(zone, spaced(zone), keywords), T.word_count(lower), len(keywords))
 
 
 def best_sector(scores: dict[str, Column]) -> tuple[Column, Column]:
@@ -59,11 +95,16 @@ def scored(chunks: DataFrame, packs: dict[str, tuple[str, ...]], text: str = "te
     """Adds sector and relevance_score for the selected packs, in their order."""
     if not packs:
         return chunks.withColumns({"sector": F.lit(""), "relevance_score": F.lit(0.0)})
-    # one array, so that each pack is evaluated once and not wherever its score is used
-    each = F.array(*[relevance(F.coalesce(F.col(text), F.lit("")), words) for words in packs.values()])
-    with_scores = chunks.withColumn("__scores", each)
-    sector, top = best_sector({name: F.col("__scores")[k] for k, name in enumerate(packs)})
-    return with_scores.withColumns({"sector": sector, "relevance_score": top}).drop("__scores")
+    # columns of their own, so that each is evaluated once and not wherever it is used
+    col = F.col
+    out = chunks.withColumn("__lower", F.lower(F.coalesce(col(text), F.lit(""))))
+    zone = T.prefix(col("__lower"), TITLE_ZONE)
+    out = out.withColumns({"__zone": zone, "__words": spaced(col("__lower")), "__first": spaced(zone), "__size": T.word_count(col("__lower"))})
+    some = {i: list(words) for i, words in enumerate(packs.values()) if words}
+    out = out.withColumns({f"__n{i}": counts(col("__lower"), col("__words"), words) for i, words in some.items()} | {f"__t{i}": titled(col("__zone"), col("__first"), words) for i, words in some.items()})
+    out = out.withColumns({f"__s{i}": _score(col(f"__n{i}"), col(f"__t{i}"), col("__size"), len(some[i])) if i in some else F.lit(0.0) for i in range(len(packs))})
+    sector, top = best_sector({name: col(f"__s{i}") for i, name in enumerate(packs)})
+    return out.withColumns({"sector": sector, "relevance_score": top}).drop("__lower", "__zone", "__words", "__first", "__size", *[f"__{c}{i}" for c in "nts" for i in range(len(packs))])
 
 
 def relevant(chunks: DataFrame, packs: dict[str, tuple[str, ...]], threshold: float = THRESHOLD, observation: Observation | None = None) -> DataFrame:

@@ -137,3 +137,13 @@ def test_title_case_and_marks(spark):
     assert values(spark, ["city-wide zone 4b"], T.title_case(F.col("a"))) == ["City-Wide Zone 4B"]
     frame = spark.createDataFrame([("High",), ("",)], "signal_strength string")
     assert [r[0] for r in frame.select(order.marked("signal_strength")).collect()] == ["🟢 High", ""]
+
+
+def test_relevance_searches_words_as_plain_strings(spark):
+    words = ["pump", "pump_a", "air", "apache license", "water-main"]
+    texts = ["pump pump pump_a apump pump2 \u00e9pump pump\u0301 pump", "pump", "air\u2019s PUMP-air,air apache license  apache  license", "water-main water main pump water-mains", "  ", ""]
+    assert values(spark, texts, relevance.relevance(F.col("a"), words)) == pytest.approx([brute_relevance(t, words) for t in texts], abs=0.0011)
+    packs = {f"p{i}": tuple(f"word{i}x{j}" for j in range(9)) for i in range(9)}
+    plan = relevance.scored(spark.createDataFrame([("a",)], "text string"), packs)._jdf.queryExecution().optimizedPlan().toString()
+    # one pattern for the words, one for those of the title and one that counts all, however many keywords there are
+    assert plan.count("(?U") == 3
