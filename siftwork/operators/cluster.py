@@ -4,11 +4,13 @@ Pairs. Of the composite, .40 J(title) + .20 J(evidence) + at most .40 for amount
 needs J(title) or J(evidence) over a bound, or a shared identifier. The bound is high for pairs whose amounts differ, and
 low for pairs whose amounts are within a factor of two; the latter also share an amount bucket. Candidates are therefore hash joins on
 identifiers, on the rarest words of each signal (prefix filter), and on rare words with an amount bucket, instead of a
-cross product; nothing over the threshold is lost. For thresholds up to similarity.UNRELATED all pairs are compared.
+cross product; nothing over the threshold is lost. Where words are so common that the joins would make over PER_SIGNAL candidates
+for each signal, and for thresholds up to similarity.UNRELATED, all pairs are compared in blocks instead, which shuffles no pair.
 
 Projects. A signal joins the project of an earlier signal that shares an identifier (the earliest such project), else the
-project of its most similar earlier signal (the earliest on ties), else it opens one. Only pairs at or over the
-threshold matter, so each connected component of the pair table is folded by itself, in parallel; project numbers
+project of its most similar earlier signal (the earliest on ties), else it opens one. So the fold needs few pairs: of the signals
+of an identifier, each with the one before (its project is the earliest of all those before it), and of a signal that shares none
+with an earlier one, those of its highest score. Each connected component of these pairs is folded by itself, in parallel; project numbers
 follow the arrival of the signals that opened them.
 """
 
@@ -20,20 +22,38 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import similarity
-from ..storage import materialize
+from ..storage import drop_table, materialize
+from . import blocks
 from .graph import components
 
 THRESHOLD = 0.45
 
 
+#: Candidates for each signal over which all pairs are compared in blocks.
+PER_SIGNAL = 64
+
+
 def pairs(keyed: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(a, b, score, id_hit) of signals a < b (by seq) whose composite similarity reaches the threshold."""
+    """(a, b, score, id_hit) of signals a < b (by seq) whose composite similarity reaches the threshold; keyed is written."""
+    met = _candidates(keyed, threshold)
+    return blocks.pairs(keyed, threshold) if met is None else _scored(met, keyed, threshold)
+
+
+def _candidates(keyed: DataFrame, threshold: float) -> DataFrame | None:
+    """Pairs (sa, sb) that share a key; none if these are too many to be shuffled."""
     if threshold <= similarity.UNRELATED:
-        both = keyed.alias("a").join(keyed.alias("b"), F.col("a.seq") < F.col("b.seq"))
-    else:
-        narrow = candidate_keys(keyed, threshold)
-        met = narrow.alias("x").join(narrow.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.seq") < F.col("y.seq"))).select(F.col("x.seq").alias("sa"), F.col("y.seq").alias("sb")).distinct()
-        both = met.join(keyed.alias("a"), F.col("sa") == F.col("a.seq")).join(keyed.alias("b"), F.col("sb") == F.col("b.seq"))
+        return None
+    narrow = materialize(candidate_keys(keyed, threshold), "candidate-keys", True)
+    met = narrow.groupBy("key").agg(F.count("*").cast("double").alias("n")).agg(F.sum(F.col("n") * (F.col("n") - 1) / 2)).first()[0]
+    if (met or 0) > PER_SIGNAL * keyed.count():
+        drop_table(narrow)
+        return None
+    both = narrow.alias("x").join(narrow.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.seq") < F.col("y.seq")))
+    return both.select(F.col("x.seq").alias("sa"), F.col("y.seq").alias("sb")).distinct()
+
+
+def _scored(met: DataFrame, keyed: DataFrame, threshold: float) -> DataFrame:
+    both = met.join(keyed.alias("a"), F.col("sa") == F.col("a.seq")).join(keyed.alias("b"), F.col("sb") == F.col("b.seq"))
     scored = both.select(F.col("a.seq").alias("a"), F.col("b.seq").alias("b"), similarity.composite().alias("score"), F.arrays_overlap("a.ids", "b.ids").alias("id_hit"))
     return scored.where(F.col("score") >= threshold)
 
@@ -81,9 +101,9 @@ def assign(signals: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         founded = signals.withColumn("founder", F.col("seq"))
     else:
         keyed = materialize(similarity.keyed(signals), "keyed-signals")
-        edges = materialize(pairs(keyed, threshold), "signal-pairs")
-        named = components(edges, "a", "b")
-        grouped = edges.join(named, F.col("a") == F.col("node")).select("component", "a", "b", "score", "id_hit")
+        needed = materialize(pairs(keyed, threshold), "signal-pairs")
+        named = components(needed, "a", "b")
+        grouped = needed.join(named, F.col("a") == F.col("node")).select("component", "a", "b", "score", "id_hit")
 
         def run(group: pd.DataFrame) -> pd.DataFrame:
             rows = list(group[["a", "b", "score", "id_hit"]].itertuples(index=False, name=None))

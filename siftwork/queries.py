@@ -491,7 +491,7 @@ def _pairs_sql() -> str:
 @query("pair_similarity", _pairs_sql())
 def pair_similarity(spark, sf_dir):
     """All pairs over the threshold, from blocked candidates."""
-    return cluster.pairs(similarity.keyed(suppliers(spark, sf_dir)))
+    return cluster.pairs(materialize(similarity.keyed(suppliers(spark, sf_dir)), "keyed-signals"))
 
 
 @query("cluster_projects")

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siftwork.functions import similarity
-from siftwork.operators import cluster, merge
+from siftwork.operators import blocks, cluster, merge
 from siftwork.operators.graph import components
 
 WORDS = ["pump", "canal", "pipe", "road", "tank", "weir", "lift", "north"]
@@ -35,6 +35,22 @@ def test_blocked_pairs_equal_all_pairs(spark, threshold):
     assert got == want and want
 
 
+@pytest.mark.parametrize(("block", "dense"), [(7, 2), (25, 256)])
+def test_pairs_of_common_words_are_compared_in_blocks(spark, monkeypatch, block, dense):
+    monkeypatch.setattr(cluster, "PER_SIGNAL", 1)
+    monkeypatch.setattr(blocks, "BLOCK", block)
+    monkeypatch.setattr(blocks, "DENSE", dense)
+    monkeypatch.setattr(blocks, "CELLS", 64)
+    rows = [*signals(45, 8), (100, None, None, None, None, None, None), (101, "pump", "pump", "", "NaN", "A", ""), (102, "pump", "pump", "", "$5", "a", ""), (102, "pump", "canal", "", "$7", "a", "")]
+    keyed = similarity.keyed(spark.createDataFrame(rows, SCHEMA)).cache()
+    both = keyed.alias("a").join(keyed.alias("b"), F.col("a.seq") < F.col("b.seq")).select(F.col("a.seq").alias("a"), F.col("b.seq").alias("b"), similarity.composite().alias("score"), F.arrays_overlap("a.ids", "b.ids").alias("id_hit"))
+    want = sorted(tuple(r) for r in both.where("score >= 0.45").collect())
+    found = cluster.pairs(keyed)
+    assert sorted(tuple(r) for r in found.collect()) == want and want
+    # no pair is shuffled: the last exchange deals out signals
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
 def greedy(n: int, score: dict, ids: dict, threshold: float) -> dict[int, int]:
     """Signal by signal over projects in the order of their creation, as the definition says."""
     projects: list[dict] = []
