@@ -58,6 +58,24 @@ def _scored(met: DataFrame, keyed: DataFrame, threshold: float) -> DataFrame:
     return scored.where(F.col("score") >= threshold)
 
 
+def edges(keyed: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The pairs (a, b, score, id_hit) that the fold needs, written; keyed is written."""
+    with_id = keyed.select("seq", F.explode("ids").alias("id")).distinct()
+    before = F.lag("seq").over(Window.partitionBy("id").orderBy("seq"))
+    chained = with_id.select(before.alias("a"), F.col("seq").alias("b")).where("a is not null").distinct()
+    chained = materialize(chained.select("a", "b", F.lit(1.0).alias("score"), F.lit(True).alias("id_hit")), "id-pairs")
+    later = keyed.join(chained.select(F.col("b").alias("seq")).distinct(), "seq", "left_anti")
+    met = _candidates(keyed, threshold)
+    if met is None:
+        found = blocks.pairs(keyed, threshold, later)
+    else:
+        found = _scored(met.join(later.select(F.col("seq").alias("sb")).distinct(), "sb", "left_semi"), keyed, threshold)
+    found = materialize(found, "signal-pairs", True)
+    top = found.groupBy("b").agg(F.max("score").alias("top"))
+    highest = found.join(top, "b").where("score = top").select("a", "b", "score", "id_hit")
+    return materialize(chained.unionByName(highest), "fold-pairs", True)
+
+
 def candidate_keys(keyed: DataFrame, threshold: float) -> DataFrame:
     """(seq, key): pairs that can reach the threshold share a key."""
     title, evidence, amount, place, sector = similarity.WEIGHTS
@@ -101,7 +119,7 @@ def assign(signals: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         founded = signals.withColumn("founder", F.col("seq"))
     else:
         keyed = materialize(similarity.keyed(signals), "keyed-signals")
-        needed = materialize(pairs(keyed, threshold), "signal-pairs")
+        needed = edges(keyed, threshold)
         named = components(needed, "a", "b")
         grouped = needed.join(named, F.col("a") == F.col("node")).select("component", "a", "b", "score", "id_hit")
 

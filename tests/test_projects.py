@@ -85,6 +85,20 @@ def test_projects_equal_greedy_fold(spark, seed):
     assert got == greedy(n, score, ids, 0.45)
 
 
+@pytest.mark.parametrize("per_signal", [1, 1000])
+def test_fold_needs_few_pairs(spark, monkeypatch, per_signal):
+    monkeypatch.setattr(cluster, "PER_SIGNAL", per_signal)
+    monkeypatch.setattr(blocks, "BLOCK", 16)
+    n = 60
+    frame = spark.createDataFrame(signals(n, 9), SCHEMA)
+    keyed = similarity.keyed(frame).cache()
+    every = [tuple(r) for r in keyed.alias("a").join(keyed.alias("b"), F.col("a.seq") < F.col("b.seq")).select("a.seq", "b.seq", similarity.composite(), F.arrays_overlap("a.ids", "b.ids")).collect()]
+    linked = [e for e in every if e[2] >= 0.45]
+    needed = [tuple(r) for r in cluster.edges(keyed).collect()]
+    assert set(needed) <= set(linked) and len(needed) < len(linked) / 2
+    assert cluster.fold(needed, list(range(n))) == cluster.fold(linked, list(range(n)))
+
+
 def test_no_merging_over_one(spark):
     got = cluster.assign(spark.createDataFrame(signals(20, 5), SCHEMA), 1.1).orderBy("seq").collect()
     assert [r["project_no"] for r in got] == list(range(1, 21)) and got[0]["project_id"] == "P-0001"
